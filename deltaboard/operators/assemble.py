@@ -118,10 +118,13 @@ def with_digest(docs: DataFrame, out: str = "digest") -> DataFrame:
 
 
 def _place(line: Column, d: Column, item: Column, i: Column) -> Column:
-    """Removal order of an item: latest first means largest place first."""
+    """Removal order of an item: latest first means largest place first.
+
+    Without its final Z the text of an instant sorts by time, fraction or not.
+    """
     return F.struct(
         item["eta"].isNull().alias("last"),
-        item["eta"].alias("eta"),
+        F.replace(item["eta"], F.lit("Z"), F.lit("")).alias("eta"),
         line["line_id"].alias("line"),
         d["direction"].alias("direction"),
         i.alias("i"),
