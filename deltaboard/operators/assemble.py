@@ -138,9 +138,7 @@ def prune_to_budget(docs: DataFrame, limit: int) -> DataFrame:
     by time and whose sizes, added to the size of the empty document, still fit.
     A direction may end up empty but stays. Documents that fit are not touched.
     """
-    sized = docs.withColumn(
-        "_over", F.octet_length(payload_json(F.col("id"), F.col("name"), F.col("lut"), F.col("lines"))) > limit
-    )
+    over = F.octet_length(payload_json(F.col("id"), F.col("name"), F.col("lut"), F.col("lines"))) > limit
 
     def emptied(line: Column) -> Column:
         return line.withField(
@@ -178,10 +176,7 @@ def prune_to_budget(docs: DataFrame, limit: int) -> DataFrame:
             F.when(fits, e["place"]).otherwise(state["place"]).alias("place"),
         )
 
-    cut = sized.withColumn("_until", F.when(F.col("_over"), F.aggregate(in_order, start, take)["place"]))
-    until = F.col("_until")
-
-    def kept(line: Column) -> Column:
+    def kept(line: Column, until: Column) -> Column:
         return line.withField(
             "dirs",
             F.transform(
@@ -193,9 +188,11 @@ def prune_to_budget(docs: DataFrame, limit: int) -> DataFrame:
             ),
         )
 
-    return cut.withColumn("lines", F.when(F.col("_over"), F.transform("lines", kept)).otherwise(F.col("lines"))).drop(
-        "_over", "_until"
-    )
+    # The last place that fits is bound to a lambda variable; as a column it
+    # would be folded into the inner lambda and worked out again per item.
+    last_fit = F.array(F.aggregate(in_order, start, take)["place"])
+    cut = F.transform(last_fit, lambda until: F.transform("lines", lambda line: kept(line, until)))
+    return docs.withColumn("lines", F.when(over, F.element_at(cut, 1)).otherwise(F.col("lines")))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
