@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaboard.operators.history import BLOCK, beats, laid_out, nearest
+from deltaboard.operators.history import BLOCK, laid_out, nearest
 from deltaboard.settings import DEFAULTS, WIPE_PATTERNS, Settings
 
 STATE_KEYS = ["mode", "station_key"]
@@ -85,6 +85,86 @@ def with_wipe_cycle(
     )
 
 
+def _step_rule(every: int):
+    """Last emission after a row: brought in by state, due now, or as before."""
+
+    def after(last: Column, tick: Column, changed: Column, start: Column) -> Column:
+        return F.when(start.isNotNull(), start).when(changed | (tick - last >= every), tick).otherwise(last)
+
+    return after
+
+
+def _differs(prev: Column, tick: Column, digest: Column, start: Column) -> Column:
+    """Whether a row changes against the row before: other content, or wiped in between."""
+    wiped = F.coalesce(prev["healthy"] < tick, F.lit(False))
+    return start.isNull() & (prev.isNull() | wiped | ~prev["digest"].eqNullSafe(digest))
+
+
+def _flagged(steps: Column, first_changed: Column) -> Column:
+    """Steps of a block with ``changed``; the first one's flag comes from outside."""
+
+    def flag(s: Column, i: Column) -> Column:
+        own = _differs(F.get(steps, i - 1), s["tick"], s["digest"], s["start"])
+        return s.withField("changed", F.when(i == 0, first_changed).otherwise(own))
+
+    return F.transform(steps, flag)
+
+
+def _chain(blocks: DataFrame, keys: list[str], every: int, size: int) -> DataFrame:
+    """Per key: ``links`` with each block's true start, the last row and emission.
+
+    How a block goes on depends on the age of the last emission at its start
+    only, and all ages from ``every`` up act alike: they emit at once, as a change
+    does. So a block is summed up as ``every`` possible ends plus its first and
+    last row, and the ends are chained over the blocks of a key.
+    """
+    rule = _step_rule(every)
+    ages = F.array(*[F.col(BLOCK) * size - age for age in range(1, every + 1)])
+    ends = F.aggregate(
+        _flagged(F.col("_steps"), F.lit(False)),
+        ages,
+        lambda lasts, s: F.transform(lasts, lambda last: rule(last, s["tick"], s["changed"], s["start"])),
+    )
+    summary = blocks.select(
+        *keys,
+        F.struct(
+            F.col(BLOCK).alias("block"),
+            F.element_at("_steps", 1).alias("first"),
+            F.element_at("_steps", -1).alias("last"),
+            ends.alias("ends"),
+        ).alias("_link"),
+    )
+    links = summary.groupBy(*keys).agg(F.array_sort(F.collect_list("_link")).alias("_links"))
+
+    def mark(b: Column, i: Column) -> Column:
+        first, prev = b["first"], F.get(F.col("_links"), i - 1)["last"]
+        return F.struct(
+            b["block"].alias("block"),
+            b["ends"].alias("ends"),
+            _differs(prev, first["tick"], first["digest"], first["start"]).alias("changed"),
+            F.get(F.col("_links"), i + 1)["first"]["tick"].alias("next_tick"),
+        )
+
+    kind = "array<struct<block:bigint,entry:bigint,changed:boolean,next_tick:bigint>>"
+    origin = F.struct(F.lit(-(2**62)).cast("bigint").alias("last"), F.array().cast(kind).alias("links"))
+
+    def link(state: Column, b: Column) -> Column:
+        age = F.when(b["changed"], every).otherwise(F.least(b["block"] * size - state["last"], F.lit(every)))
+        entry = F.struct(
+            b["block"].alias("block"), state["last"].alias("entry"), b["changed"].alias("changed"),
+            b["next_tick"].alias("next_tick"),
+        )
+        return F.struct(
+            F.element_at(b["ends"], age.cast("int")).alias("last"), F.array_append(state["links"], entry).alias("links")
+        )
+
+    return links.select(
+        *keys,
+        F.element_at("_links", -1)["last"].alias("_newest"),
+        F.aggregate(F.transform("_links", mark), origin, link).alias("_walked"),
+    )
+
+
 def replay(
     presence: DataFrame,
     polls: DataFrame,
@@ -100,75 +180,77 @@ def replay(
 
     ``presence``: mode, station_key, cycle, digest; one row per key and cycle.
     ``polls``: mode, cycle, arrivals. ``guard=None`` switches wipes off.
-    Emissions: keys, mode, cycle, reason, digest (null for a wipe). The state
-    holds the keys that are not wiped by the last poll.
+    Emissions: mode, station_key, cycle, reason, digest (null for a wipe). The
+    state holds the keys that are not wiped by the last poll.
+
+    A key's history is walked in blocks of ``settings.block_cycles`` cycles, so
+    no task holds more than one block of a key, plus one small row per block.
     """
     keys = list(keys)
     size, every = settings.block_cycles, settings.heartbeat_cycles
-    others = [c for c in ("mode", "station_key") if c not in keys]
-    rows = presence.select(*keys, *others, "cycle", "digest", F.lit(None).cast("bigint").alias("_start"))
+    others = [c for c in STATE_KEYS if c not in keys]
+    rows = presence.select(*STATE_KEYS, "cycle", "digest", F.lit(None).cast("bigint").alias("_start"))
     if state is not None:
         rows = rows.unionByName(
-            state.select(*keys, *others, "cycle", "digest", F.col("last_emit").cast("bigint").alias("_start"))
+            state.select(*STATE_KEYS, "cycle", "digest", F.col("last_emit").cast("bigint").alias("_start"))
         )
     gapped = with_wipe_cycle(
         rows, polls, guard=guard, patterns=patterns, own_mode_only=own_mode_only, size=size
     )
-    laid = laid_out(gapped, keys, "cycle", size)
-    around = nearest(
-        laid, keys, "cycle", before={"_prev": F.struct("digest", "_healthy")}, after={"_later": F.col("cycle")}
+    step = F.struct(
+        F.col("cycle").cast("bigint").alias("tick"), "digest", F.col("_healthy").alias("healthy"),
+        F.col("_start").alias("start"), *others,
     )
-    fresh = F.col("_start").isNull()
-    judged = around.withColumns(
-        {
-            "_changed": fresh
-            & (
-                F.col("_prev").isNull()
-                | F.coalesce(F.col("_prev._healthy") < F.col("cycle"), F.lit(False))
-                | ~F.col("_prev.digest").eqNullSafe(F.col("digest"))
-            ),
-            "_wiped_at": F.when(
-                F.col("_healthy") < F.coalesce("_later", F.lit(2**62)), F.col("_healthy")
-            ),
-        }
+    blocks = (
+        gapped.groupBy(*keys, F.floor(F.col("cycle") / size).cast("bigint").alias(BLOCK))
+        .agg(F.array_sort(F.collect_list(step)).alias("_steps"))
     )
-    walked = beats(
-        judged.select(*keys, BLOCK, "cycle", "_changed", "_start"),
-        keys, "cycle", every, size, reset="_changed", start="_start",
+    chain = _chain(blocks, keys, every, size)
+    entries = chain.select(*keys, F.explode("_walked.links").alias("_link")).select(
+        *keys, F.col("_link.block").alias(BLOCK), "_link.entry", "_link.changed", "_link.next_tick"
     )
-    beat_rows = walked.where(F.size("beat_ticks") > 0).select(*keys, F.explode("beat_ticks").alias("cycle"), F.lit(True).alias("_beat"))
 
-    kinds = judged.join(beat_rows, [*keys, "cycle"], "left").select(
-        *keys,
-        *others,
-        "digest",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("_changed"), F.struct(F.col("cycle"), F.lit(CHANGED).alias("reason"))),
-                    F.when(F.col("_beat"), F.struct(F.col("cycle"), F.lit(HEARTBEAT).alias("reason"))),
-                    F.when(
-                        F.col("_wiped_at").isNotNull(),
-                        F.struct(F.col("_wiped_at").alias("cycle"), F.lit(WIPE).alias("reason")),
-                    ),
-                )
+    rule = _step_rule(every)
+    other_fields = "".join(f",{c}:string" for c in others)
+    kind = f"array<struct<cycle:bigint,reason:string,digest:string{other_fields}>>"
+    opening = F.struct(F.col("entry").alias("last"), F.lit(0).alias("i"), F.array().cast(kind).alias("out"))
+
+    def emission(cycle: Column, reason: str, digest: Column, s: Column) -> Column:
+        return F.struct(
+            cycle.alias("cycle"), F.lit(reason).alias("reason"), digest.cast("string").alias("digest"),
+            *[s[c].alias(c) for c in others],
+        )
+
+    def walk(acc: Column, s: Column) -> Column:
+        last = rule(acc["last"], s["tick"], s["changed"], s["start"])
+        beat = s["start"].isNull() & ~s["changed"] & (last == s["tick"])
+        later = F.coalesce(
+            F.get(F.col("_steps"), acc["i"] + 1)["tick"], F.col("next_tick"), F.lit(2**62).cast("bigint")
+        )
+        sent = F.array_compact(
+            F.array(
+                F.when(s["changed"], emission(s["tick"], CHANGED, s["digest"], s)),
+                F.when(beat, emission(s["tick"], HEARTBEAT, s["digest"], s)),
+                F.when(s["healthy"] < later, emission(s["healthy"], WIPE, F.lit(None), s)),
             )
-        ).alias("_e"),
+        )
+        return F.struct(last.alias("last"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], sent).alias("out"))
+
+    walked = F.aggregate(_flagged(F.col("_steps"), F.col("changed")), opening, walk)["out"]
+    emissions = (
+        blocks.join(entries, [*keys, BLOCK])
+        .select(*keys, F.explode(walked).alias("_e"))
+        .select(*keys, "_e.*")
+        .select(*STATE_KEYS, "cycle", "reason", "digest")
     )
-    emissions = kinds.select(
+    after = chain.where(F.col("_newest.healthy").isNull()).select(
         *keys,
-        *others,
-        F.col("_e.cycle").alias("cycle"),
-        F.col("_e.reason").alias("reason"),
-        F.when(F.col("_e.reason") != WIPE, F.col("digest")).alias("digest"),
-    )
-
-    newest = judged.where(F.col("_later").isNull() & F.col("_wiped_at").isNull()).select(
-        *keys, *others, "cycle", "digest"
+        *[F.col(f"_newest.{c}").alias(c) for c in others],
+        F.col("_newest.tick").alias("cycle"),
+        F.col("_newest.digest").alias("digest"),
+        F.col("_walked.last").alias("last_emit"),
     )
-    last = walked.groupBy(*keys).agg(F.max_by("last_emit", BLOCK).alias("last_emit"))
-    after = newest.join(last, keys)
-    return emissions, after.select(*keys, *others, "cycle", "digest", "last_emit")
+    return emissions, after.select(*STATE_KEYS, "cycle", "digest", "last_emit")
 
 
 def cycle_summary(polls: DataFrame, docs: DataFrame, emissions: DataFrame) -> DataFrame:

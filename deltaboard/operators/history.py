@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
@@ -40,17 +39,15 @@ def nearest(
     names = [*before, *after]
     raw = df.withColumns({f"_v_{name}": value for name, value in [*before.items(), *after.items()]})
 
-    def order(name: str, col: str) -> Column:
-        return F.col(col).asc() if name in before else F.col(col).desc()
-
     def edge(name: str) -> Column:
         pick = F.max_by if name in before else F.min_by
         value = F.col(f"_v_{name}")
         return pick(value, F.when(value.isNotNull(), F.col(tick))).alias(f"_e_{name}")
 
     def seen(name: str, value: str, partition: list[str], col: str) -> Column:
-        frame = W.partitionBy(*partition).orderBy(order(name, col)).rowsBetween(W.unboundedPreceding, -1)
-        return F.last(value, ignorenulls=True).over(frame)
+        side = "lag" if name in before else "lead"
+        by = ", ".join(f"`{c}`" for c in partition)
+        return F.expr(f"{side}(`{value}`) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY `{col}`)")
 
     edges = raw.groupBy(*keys, BLOCK).agg(*[edge(name) for name in names])
     carried = edges.select(
@@ -62,73 +59,3 @@ def nearest(
         .withColumns({name: F.coalesce(f"_l_{name}", f"_c_{name}") for name in names})
         .select(*df.columns, *names)
     )
-
-
-def beats(
-    df: DataFrame, keys: Sequence[str], tick: str, every: int, size: int, *, reset: str, start: str | None = None
-) -> DataFrame:
-    """Ticks at which a quiet row must emit because ``every`` ticks have passed.
-
-    ``reset`` marks rows that emit anyway. ``start``, if given, holds on a row
-    that only brings state in, the tick of its last emission. Returns one row
-    per key and block: ``beat_ticks`` and ``last_emit`` (after the block).
-
-    How a block goes on depends on the age of the last emission at its start
-    only, and all ages from ``every`` up act alike. So each block is summed up
-    as ``every`` possible ends, the ends are chained over the blocks of a key,
-    and each block is then walked once with its true start.
-    """
-    keys = list(keys)
-    step = F.struct(
-        F.col(tick).cast("bigint").alias("tick"),
-        F.col(reset).alias("reset"),
-        (F.col(start) if start else F.lit(None)).cast("bigint").alias("start"),
-    )
-    blocks = df.groupBy(*keys, BLOCK).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
-    first_tick = F.col(BLOCK) * size
-
-    def last_emit(last: Column, s: Column) -> Column:
-        return (
-            F.when(s["start"].isNotNull(), s["start"])
-            .when(s["reset"] | (s["tick"] - last >= every), s["tick"])
-            .otherwise(last)
-        )
-
-    ends = F.transform(
-        F.sequence(F.lit(1), F.lit(every)),
-        lambda age: F.aggregate(F.col("_steps"), first_tick - age, last_emit),
-    )
-    chain = blocks.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(BLOCK).alias("block"), ends.alias("ends")))).alias("_chain")
-    )
-    none = F.lit(-(2**62)).cast("bigint")
-    origin = F.struct(none.alias("last"), F.array().cast("array<struct<block:bigint,entry:bigint>>").alias("entries"))
-
-    def link(state: Column, b: Column) -> Column:
-        age = F.least(b["block"] * size - state["last"], F.lit(every)).cast("int")
-        return F.struct(
-            F.element_at(b["ends"], age).alias("last"),
-            F.array_append(
-                state["entries"], F.struct(b["block"].alias("block"), state["last"].alias("entry"))
-            ).alias("entries"),
-        )
-
-    entries = chain.select(*keys, F.explode(F.aggregate("_chain", origin, link)["entries"]).alias("_entry")).select(
-        *keys, F.col("_entry.block").alias(BLOCK), F.col("_entry.entry").alias("_last")
-    )
-
-    opening = F.struct(F.col("_last").alias("last"), F.array().cast("array<bigint>").alias("beats"))
-
-    def walk(state: Column, s: Column) -> Column:
-        after = last_emit(state["last"], s)
-        beat = s["start"].isNull() & ~s["reset"] & (after == s["tick"])
-        return F.struct(
-            after.alias("last"),
-            F.when(beat, F.array_append(state["beats"], s["tick"])).otherwise(state["beats"]).alias("beats"),
-        )
-
-    return (
-        blocks.join(entries, [*keys, BLOCK])
-        .withColumn("_walked", F.aggregate("_steps", opening, walk))
-        .select(*keys, BLOCK, F.col("_walked.beats").alias("beat_ticks"), F.col("_walked.last").alias("last_emit"))
-    )

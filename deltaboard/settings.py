@@ -25,7 +25,7 @@ class Settings:
     geohash_precision: int = 9
     # Length of one history block in cycles. It bounds the rows that one task
     # has to hold for one key, however long the history is.
-    block_cycles: int = 2048
+    block_cycles: int = 1024
 
 
 DEFAULTS = Settings()
