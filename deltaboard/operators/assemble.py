@@ -13,25 +13,35 @@ from deltaboard.operators.countdown import KEYS
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def line_spine(arrivals: DataFrame) -> DataFrame:
-    """Lines that a station's arrivals mention, filtered rows included."""
-    return (
-        arrivals.where(F.col("naptan_id").isNotNull() & F.col("line_id").isNotNull())
-        .groupBy(*KEYS, "line_id")
-        .agg(F.min_by("line_name", "feed_seq").alias("line_name"))
+def feed_summary(arrivals: DataFrame) -> DataFrame:
+    """Per station and line: number of arrivals and the names on the first one.
+
+    One pass over the feed for everything that needs all rows, filtered ones
+    included. The result is small, and names and poll counts come out of it.
+    """
+    return arrivals.groupBy(*KEYS, "line_id").agg(
+        F.min(F.struct("feed_seq", "line_name", "station_name")).alias("first"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def line_spine(summary: DataFrame) -> DataFrame:
+    """Lines that a station's arrivals mention, with the name on the first one."""
+    return summary.where(F.col("naptan_id").isNotNull() & F.col("line_id").isNotNull()).select(
+        *KEYS, "line_id", "first.line_name"
     )
 
 
-def station_spine(arrivals: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+def station_spine(summary: DataFrame, planned: DataFrame | None = None) -> DataFrame:
     """Stations to publish, with names. Either feed may be missing a station.
 
     ``has_arrivals`` is false for a station that only has a board; it is named
     by its metadata, else by its id.
     """
     seen = (
-        arrivals.where(F.col("naptan_id").isNotNull())
+        summary.where(F.col("naptan_id").isNotNull())
         .groupBy(*KEYS)
-        .agg(F.min_by("station_name", "feed_seq").alias("_first_name"), F.lit(True).alias("_seen"))
+        .agg(F.min("first").alias("_first"))
+        .select(*KEYS, F.col("_first.station_name").alias("_first_name"), F.lit(True).alias("_seen"))
     )
     if planned is None:
         return seen.select(*KEYS, F.col("_first_name").alias("name"), F.lit(True).alias("has_arrivals"))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaboard.operators.history import BLOCK, laid_out, nearest
+from deltaboard.operators.history import BLOCK, laid_out, nearest, with_block
 from deltaboard.settings import DEFAULTS, WIPE_PATTERNS, Settings
 
 STATE_KEYS = ["mode", "station_key"]
@@ -24,6 +24,11 @@ def polls_of(arrivals: DataFrame) -> DataFrame:
     return arrivals.groupBy("mode", "cycle").agg(F.count(F.lit(1)).alias("arrivals"))
 
 
+def polls_of_summary(summary: DataFrame) -> DataFrame:
+    """The same from a feed summary, which has the counts already."""
+    return summary.groupBy("mode", "cycle").agg(F.sum("n").alias("arrivals"))
+
+
 def relevant(key: Column, mode: Column, patterns: Mapping[str, str] = WIPE_PATTERNS) -> Column:
     """Whether a poll of ``mode`` may wipe a station; never for modes without a pattern."""
     hit = F.lit(False)
@@ -202,11 +207,13 @@ def replay(
         F.col("_start").alias("start"), *others,
     )
     blocks = (
-        gapped.groupBy(*keys, F.floor(F.col("cycle") / size).cast("bigint").alias(BLOCK))
+        with_block(gapped, keys, "cycle", size)
+        .groupBy(*keys, BLOCK)
         .agg(F.array_sort(F.collect_list(step)).alias("_steps"))
     )
     chain = _chain(blocks, keys, every, size)
-    entries = chain.select(*keys, F.explode("_walked.links").alias("_link")).select(
+    # explode_outer: there is always a link, and explode would walk twice to check.
+    entries = chain.select(*keys, F.explode_outer("_walked.links").alias("_link")).select(
         *keys, F.col("_link.block").alias(BLOCK), "_link.entry", "_link.changed", "_link.next_tick"
     )
 

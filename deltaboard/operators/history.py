@@ -17,9 +17,19 @@ from pyspark.sql import functions as F
 BLOCK = "_block"
 
 
+def with_block(df: DataFrame, keys: Sequence[str], tick: str, size: int) -> DataFrame:
+    """Add the block of each row; rows without a key or tick have no history.
+
+    A join on key and block implies the same filter, but on its own side only,
+    and then both sides would shuffle the rows again.
+    """
+    blocked = df.withColumn(BLOCK, F.floor(F.col(tick) / size).cast("bigint"))
+    return blocked.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, BLOCK]))
+
+
 def laid_out(df: DataFrame, keys: Sequence[str], tick: str, size: int) -> DataFrame:
     """Place rows by key and block of ``tick``; later steps reuse this one shuffle."""
-    return df.withColumn(BLOCK, F.floor(F.col(tick) / size).cast("bigint")).repartition(*keys, BLOCK)
+    return with_block(df, keys, tick, size).repartition(*keys, BLOCK)
 
 
 def nearest(

@@ -27,6 +27,7 @@ def station_documents(
     boards: DataFrame | None = None,
     planned: DataFrame | None = None,
     departing: DataFrame | None = None,
+    summary: DataFrame | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Documents per mode, cycle and station from filtered arrivals and boards.
@@ -35,22 +36,25 @@ def station_documents(
     rows of a mode and cycle then have to carry the same one.
     """
     row_now = F.col("fetched_at") if now is None else clock(now)
-    rows = arrivals
-    stations = assemble.station_spine(arrivals, planned)
+    if summary is None:
+        summary = assemble.feed_summary(arrivals)
+    stations = assemble.station_spine(summary, planned)
     if boards is not None and planned is not None:
         asked = boards.join(planned.select(*countdown.KEYS, "line_id"), [*countdown.KEYS, "line_id"], "left_semi")
         usable = board.board_rows(asked, row_now, settings)
         at_boards = arrivals.join(planned.select(*countdown.KEYS).distinct(), countdown.KEYS, "left_semi")
         by_destination, by_platform = board.learned_directions(at_boards)
         directed = board.resolve_directions(usable, by_destination, by_platform, departing)
-        rows = board.uncovered_arrivals(arrivals, usable)
+        covered = usable.select(*countdown.KEYS, "line_id").distinct()
+        rest = board.uncovered_arrivals(arrivals, covered)
         items = board.board_items(directed, settings).unionByName(
-            countdown.countdown_items(rows, row_now, departing, settings)
+            countdown.countdown_items(rest, row_now, departing, settings)
         )
-        lines = board.board_line_names(usable, at_boards, planned).unionByName(assemble.line_spine(rows))
+        uncovered = board.uncovered_arrivals(assemble.line_spine(summary), covered)
+        lines = board.board_line_names(covered, at_boards, planned).unionByName(uncovered)
     else:
-        items = countdown.countdown_items(rows, row_now, departing, settings)
-        lines = assemble.line_spine(rows)
+        items = countdown.countdown_items(arrivals, row_now, departing, settings)
+        lines = assemble.line_spine(summary)
     if now is None:
         # A station that only has a board takes the time its board was fetched.
         clocks = arrivals.groupBy("mode", "cycle").agg(F.max("fetched_at").alias("_now"))
@@ -97,10 +101,11 @@ def run_cycles(
     """
     stage = stage or Staging(arrivals.sparkSession)
     kept = filtered_arrivals(arrivals, subscribed)
-    polls = changes.polls_of(kept)
+    summary = stage(assemble.feed_summary(kept), "summary")
+    polls = changes.polls_of_summary(summary)
     docs = stage(
         station_documents(
-            kept, now=now, boards=boards, planned=planned, departing=departing, settings=settings
+            kept, now=now, boards=boards, planned=planned, departing=departing, summary=summary, settings=settings
         ),
         "documents",
     )

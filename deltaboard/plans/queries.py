@@ -334,10 +334,10 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def grouped_lines(spark, folder):
     """Stations, their lines and names, lines without a live row included."""
-    rows = arrivals(spark, folder)
-    lines = assemble.line_spine(rows)
+    summary = assemble.feed_summary(arrivals(spark, folder))
+    lines = assemble.line_spine(summary)
     return (
-        assemble.station_spine(rows)
+        assemble.station_spine(summary)
         .join(lines, countdown.KEYS, "left")
         .select("mode", "naptan_id", "name", "line_id", "line_name")
     )
