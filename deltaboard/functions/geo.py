@@ -19,7 +19,8 @@ def _cell(value: Column, span: int, bits: int) -> Column:
     guess = F.floor((value + span) / width).cast("bigint")
     guess = F.when(value < guess * F.lit(width) - span, guess - 1).otherwise(guess)
     guess = F.when(value >= (guess + 1) * F.lit(width) - span, guess + 1).otherwise(guess)
-    return F.least(F.greatest(guess, F.lit(0)), F.lit(cells - 1))
+    # greatest and least pass over nulls.
+    return F.when(value.isNotNull(), F.least(F.greatest(guess, F.lit(0)), F.lit(cells - 1)))
 
 
 def with_geohash(df: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "geo_hash", precision: int = 9) -> DataFrame:
