@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaboard import schemas
@@ -45,5 +45,5 @@ def write_outbox(rows: DataFrame, path: str, batch_id: int) -> None:
     ).parquet(f"{path.rstrip('/')}/batch={batch_id:012d}")
 
 
-def read_outbox(spark, path: str) -> DataFrame:
-    return spark.read.schema(schemas.OUTBOX).parquet(f"{path.rstrip('/')}/batch=*").select(*COLUMNS)
+def read_outbox(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{schemas.OUTBOX}, batch bigint").parquet(path).select(*COLUMNS)
