@@ -218,37 +218,43 @@ def replay(
     )
 
     rule = _step_rule(every)
-    other_fields = "".join(f",{c}:string" for c in others)
-    kind = f"array<struct<cycle:bigint,reason:string,digest:string{other_fields}>>"
-    opening = F.struct(F.col("entry").alias("last"), F.lit(0).alias("i"), F.array().cast(kind).alias("out"))
+    flagged = _flagged(F.col("_steps"), F.col("changed"))
+    opening = F.struct(F.col("entry").alias("last"), F.array().cast("array<bigint>").alias("beats"))
 
-    def emission(cycle: Column, reason: str, digest: Column, s: Column) -> Column:
+    def walk(acc: Column, s: Column) -> Column:
+        due = s["start"].isNull() & ~s["changed"] & (s["tick"] - acc["last"] >= every)
         return F.struct(
-            cycle.alias("cycle"), F.lit(reason).alias("reason"), digest.cast("string").alias("digest"),
-            *[s[c].alias(c) for c in others],
+            rule(acc["last"], s["tick"], s["changed"], s["start"]).alias("last"),
+            F.when(due, F.array_append(acc["beats"], s["tick"])).otherwise(acc["beats"]).alias("beats"),
         )
 
-    def walk(acc: Column, s: Column) -> Column:
-        last = rule(acc["last"], s["tick"], s["changed"], s["start"])
-        beat = s["start"].isNull() & ~s["changed"] & (last == s["tick"])
-        later = F.coalesce(
-            F.get(F.col("_steps"), acc["i"] + 1)["tick"], F.col("next_tick"), F.lit(2**62).cast("bigint")
-        )
-        sent = F.array_compact(
-            F.array(
-                F.when(s["changed"], emission(s["tick"], CHANGED, s["digest"], s)),
-                F.when(beat, emission(s["tick"], HEARTBEAT, s["digest"], s)),
-                F.when(s["healthy"] < later, emission(s["healthy"], WIPE, F.lit(None), s)),
+    def sent(beats: Column) -> Column:
+        def judge(s: Column, i: Column) -> Column:
+            later = F.coalesce(
+                F.get(F.col("_steps"), i + 1)["tick"], F.col("next_tick"), F.lit(2**62).cast("bigint")
             )
-        )
-        return F.struct(last.alias("last"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], sent).alias("out"))
+            return F.struct(
+                *[s[c].alias(c) for c in ("tick", "digest", "changed", *others)],
+                (~s["changed"] & F.array_contains(beats, s["tick"])).alias("beat"),
+                F.when(s["healthy"] < later, s["healthy"]).alias("wiped"),
+            )
+
+        return F.filter(F.transform(flagged, judge), lambda s: s["changed"] | s["beat"] | s["wiped"].isNotNull())
 
-    walked = F.aggregate(_flagged(F.col("_steps"), F.col("changed")), opening, walk)["out"]
+    # The heartbeats are bound to a lambda variable, so the walk is done once per block.
+    found = F.element_at(F.transform(F.array(F.aggregate(flagged, opening, walk)["beats"]), sent), 1)
+    no_digest = F.lit(None).cast("string")
+    kinds = F.array(
+        F.when(F.col("_s.changed"), F.struct(F.col("_s.tick").alias("cycle"), F.lit(CHANGED).alias("reason"), F.col("_s.digest").alias("digest"))),
+        F.when(F.col("_s.beat"), F.struct(F.col("_s.tick").alias("cycle"), F.lit(HEARTBEAT).alias("reason"), F.col("_s.digest").alias("digest"))),
+        F.when(F.col("_s.wiped").isNotNull(), F.struct(F.col("_s.wiped").alias("cycle"), F.lit(WIPE).alias("reason"), no_digest.alias("digest"))),
+    )
     emissions = (
         blocks.join(entries, [*keys, BLOCK])
-        .select(*keys, F.explode(walked).alias("_e"))
-        .select(*keys, "_e.*")
-        .select(*STATE_KEYS, "cycle", "reason", "digest")
+        .select(*keys, F.explode(found).alias("_s"))
+        .select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others], F.explode(kinds).alias("_e"))
+        .where(F.col("_e").isNotNull())
+        .select(*STATE_KEYS, "_e.cycle", "_e.reason", "_e.digest")
     )
     after = chain.where(F.col("_newest.healthy").isNull()).select(
         *keys,
