@@ -122,12 +122,16 @@ def outbox_rows(history: DataFrame, statuses: DataFrame | None = None) -> DataFr
     and push leaves out its first sync, which only fills the baseline. A sync
     that returned no line has no rows and so does not count as the first.
     """
-    changed = history.where("changed")
-    stream = changed.withColumns({"channel": F.lit("stream"), "topic": F.col("id")})
-    push = changed.withColumns({"channel": F.lit("push"), "topic": status_topic(F.col("mode"), F.col("id"))})
-    if statuses is not None:
-        push = push.where(F.col("sync_id") > statuses.agg(F.min("sync_id")).scalar())
-    return push.unionByName(stream)
+    targets = F.array(
+        F.struct(F.lit("stream").alias("channel"), F.col("id").alias("topic")),
+        F.struct(F.lit("push").alias("channel"), status_topic(F.col("mode"), F.col("id")).alias("topic")),
+    )
+    both = history.where("changed").withColumn("_to", F.explode(targets))
+    rows = both.select(*history.columns, "_to.channel", "_to.topic")
+    if statuses is None:
+        return rows
+    first = statuses.agg(F.min("sync_id")).scalar()
+    return rows.where((F.col("channel") == "stream") | (F.col("sync_id") > first))
 
 
 def changed_lines_per_mode(history: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deltaboard.functions.codecs import encode
 from deltaboard.operators import linestatus
+from deltaboard.session import Staging
 from deltaboard.settings import DEFAULTS, Settings
 from deltaboard.sources.outbox import STREAM_LINES
 
@@ -40,11 +41,19 @@ def run_syncs(
     state: DataFrame | None = None,
     primed: bool = False,
     index: Column | None = None,
+    stage: Staging | None = None,
     settings: Settings = DEFAULTS,
 ) -> StatusResult:
-    """Any number of syncs. ``primed``: an earlier run has filled the baseline."""
-    statuses = linestatus.picked_statuses(raw)
-    history = linestatus.status_history(statuses, state=state, index=index, settings=settings)
+    """Any number of syncs. ``primed``: an earlier run has filled the baseline.
+
+    The picked statuses and the judged history are staged: both have several
+    readers, and both are far smaller than the raw feed.
+    """
+    stage = stage or Staging(raw.sparkSession)
+    statuses = stage(linestatus.picked_statuses(raw), "statuses")
+    history = stage(
+        linestatus.status_history(statuses, state=state, index=index, settings=settings), "history"
+    )
     rows = linestatus.outbox_rows(history, None if primed else statuses)
     messages = rows.select(
         F.when(F.col("channel") == "stream", STREAM_LINES).otherwise(F.col("channel")).alias("channel"),

@@ -72,8 +72,10 @@ def status_updates(
         spark = batch.sparkSession
         table = VersionedTable(spark, f"{root}/state/statuses", schemas.STATUS_STATE)
         state = table.read(batch_id)
+        stage = Staging(spark)
         result = statuses_plan.run_syncs(
             batch,
+            stage=stage,
             updated_ms=F.unix_millis(F.current_timestamp()),
             state=state,
             primed=not state.isEmpty(),
@@ -85,6 +87,7 @@ def status_updates(
             f"{root}/outbox/statuses",
             batch_id,
         )
+        stage.close()
 
     return _start(stream, handle, f"{root}/progress/statuses", every)
 
