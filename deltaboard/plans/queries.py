@@ -8,7 +8,6 @@ Each query runs over whole tables and returns flat scalar columns.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from deltaboard.operators import (
 )
 from deltaboard.plans import arrivals as arrivals_plan
 from deltaboard.plans import statuses as statuses_plan
+from deltaboard.session import Staging
 from deltaboard.settings import DEFAULTS
 from deltaboard.sources import outbox
 
@@ -641,8 +641,9 @@ def station_diff(spark, folder):
 
 def upsert_chunks(spark, folder):
     existing = existing_stations(spark, folder)
-    changed = topology.changed_stations(_fresh(spark, folder, existing), existing)
-    return ranking.batched(changed, "naptan_id", DEFAULTS.upsert_chunk, out="chunk_no").select("naptan_id", "chunk_no")
+    changed = topology.changed_stations(_fresh(spark, folder, existing), existing).select("naptan_id")
+    staged = Staging(spark)(changed, "changed_stations")
+    return ranking.batched(staged, "naptan_id", DEFAULTS.upsert_chunk, out="chunk_no").select("naptan_id", "chunk_no")
 
 
 def geohash_cells(spark, folder):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 
 from deltaboard.operators import topology
 from deltaboard.operators.ranking import batched
+from deltaboard.session import Staging
 from deltaboard.settings import DEFAULTS, Settings
 
 
@@ -19,9 +20,13 @@ def sync_stations(
     now_ms: Column,
     line_id: str | None = None,
     rebuild: bool = False,
+    stage: Staging | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """New or changed stations of one mode (or one of its lines), with ``chunk_no``."""
+    """New or changed stations of one mode (or one of its lines), with ``chunk_no``.
+
+    The diff is staged before it is numbered: numbering reads it twice.
+    """
     wanted = lines.where(lines["mode"] == mode)
     if line_id is not None:
         wanted = wanted.where(wanted["line_id"] == line_id)
@@ -34,5 +39,6 @@ def sync_stations(
         rebuild=rebuild,
         settings=settings,
     )
-    changed = topology.changed_stations(fresh, existing)
+    stage = stage or Staging(stations.sparkSession)
+    changed = stage(topology.changed_stations(fresh, existing), "changed_stations")
     return batched(changed, "naptan_id", settings.upsert_chunk, out="chunk_no")

@@ -66,7 +66,7 @@ def listed(df):
     return sorted((tuple(r) for r in df.select("mode", "station_key", "cycle", "reason", "digest").collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [1, 4, 7, 1024])
+@pytest.mark.parametrize("block", [1, 7])
 @pytest.mark.parametrize("guard", [None, 50])
 def test_replay_equals_the_model(spark, block, guard):
     for seed in (1, 2):
@@ -78,7 +78,7 @@ def test_replay_equals_the_model(spark, block, guard):
         assert sorted(tuple(r) for r in state.select("mode", "station_key", "cycle", "digest", "last_emit").collect()) == left
 
 
-@pytest.mark.parametrize("cuts", [[13, 14, 40], [5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55]])
+@pytest.mark.parametrize("cuts", [[13, 14, 40], [5, 10, 11, 45]])
 def test_micro_batches_equal_one_replay(spark, cuts):
     presence, polls = random_history(3, 60)
     expected, left = model(presence, polls, 50, 5)
