@@ -38,7 +38,7 @@ def main() -> None:
     known = all_queries()
     sizes = {t: spark.read.parquet(f"{folder}/{t}.parquet").count() for t in DRIVING}
     # The first query pays for starting the engine; run one before the clock.
-    known["row_count"](spark, folder).collect()
+    known["countdown_items"](spark, folder).write.format("noop").mode("overwrite").save()
 
     seconds, rates = {}, {}
     for name_of_table, names in DRIVING.items():

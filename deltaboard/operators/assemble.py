@@ -206,9 +206,13 @@ def prune_to_budget(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Flat rows of documents, one per prediction; empty levels give no row."""
+    """Flat rows of documents, one per prediction; empty levels give no row.
+
+    The outer explode spares a filter that would work out the lines again; the
+    next explode drops its empty rows.
+    """
     return (
-        docs.select("mode", "cycle", "station_key", "id", "name", "lut", F.explode("lines").alias("line"))
+        docs.select("mode", "cycle", "station_key", "id", "name", "lut", F.explode_outer("lines").alias("line"))
         .select("*", F.explode("line.dirs").alias("dir"))
         .select("*", F.posexplode("dir.preds").alias("i", "item"))
         .select(

@@ -581,17 +581,24 @@ def fitting_stops(spark: SparkSession, folder: str) -> DataFrame:
     return topology.mode_stops(lines, rows.drop("mode"))
 
 
-def existing_stations(spark: SparkSession, folder: str) -> DataFrame:
+def existing_stations(spark: SparkSession, fit: DataFrame, routes: DataFrame) -> DataFrame:
     """What an earlier sync knew: two stations in three, fewer lines, some old names."""
-    known = fitting_stops(spark, folder).where(
+    known = fit.where(
         (F.substring("naptan_id", 2, 20).cast("bigint") % 3 != 0) & (F.substring("line_id", 2, 20).cast("bigint") % 7 != 0)
     )
     number = F.substring("naptan_id", 2, 20).cast("bigint")
     aged = known.withColumn("common_name", F.when(number % 5 == 0, F.lit("old name")).otherwise(F.col("common_name")))
     empty = spark.createDataFrame([], _station_schema())
-    return topology.fresh_stations(
-        aged, topology.route_stops(sequences(spark, folder)), empty, F.lit(0)
-    )
+    return topology.fresh_stations(aged, routes, empty, F.lit(0))
+
+
+def _station_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Diff of a sync; its inputs have several readers each, so they are staged."""
+    stage = Staging(spark)
+    fit = stage(fitting_stops(spark, folder), "stops")
+    routes = stage(topology.route_stops(sequences(spark, folder)), "routes")
+    existing = stage(existing_stations(spark, fit, routes), "existing")
+    return topology.changed_stations(topology.fresh_stations(fit, routes, existing, F.lit(1)), existing)
 
 
 def _station_schema():
@@ -634,15 +641,11 @@ def search_keys(spark, folder):
 
 
 def station_diff(spark, folder):
-    existing = existing_stations(spark, folder)
-    changed = topology.changed_stations(_fresh(spark, folder, existing), existing)
-    return changed.select("naptan_id", "change", F.size("search_keys").alias("n_keys"))
+    return _station_changes(spark, folder).select("naptan_id", "change", F.size("search_keys").alias("n_keys"))
 
 
 def upsert_chunks(spark, folder):
-    existing = existing_stations(spark, folder)
-    changed = topology.changed_stations(_fresh(spark, folder, existing), existing).select("naptan_id")
-    staged = Staging(spark)(changed, "changed_stations")
+    staged = Staging(spark)(_station_changes(spark, folder).select("naptan_id"), "changed_stations")
     return ranking.batched(staged, "naptan_id", DEFAULTS.upsert_chunk, out="chunk_no").select("naptan_id", "chunk_no")
 
 
