@@ -593,11 +593,9 @@ def existing_stations(spark: SparkSession, fit: DataFrame, routes: DataFrame) ->
 
 
 def _station_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Diff of a sync; its inputs have several readers each, so they are staged."""
-    stage = Staging(spark)
-    fit = stage(fitting_stops(spark, folder), "stops")
-    routes = stage(topology.route_stops(sequences(spark, folder)), "routes")
-    existing = stage(existing_stations(spark, fit, routes), "existing")
+    """Diff of a sync against what an earlier one left."""
+    fit, routes = fitting_stops(spark, folder), topology.route_stops(sequences(spark, folder))
+    existing = existing_stations(spark, fit, routes)
     return topology.changed_stations(topology.fresh_stations(fit, routes, existing, F.lit(1)), existing)
 
 
