@@ -7,18 +7,18 @@ QUALITY = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, text, coalesce(source, '') AS host FROM documents
 ), w AS (
-  SELECT r, list_filter(string_split(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), x -> x <> '') AS words FROM d
+  SELECT r, list_filter(string_split(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS words FROM d
 ), g AS (
   SELECT r, i, list_aggregate(words[i:i + 7], 'string_agg', ' ') AS gram
   FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) > 8)
 ), twice AS (
   SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1
 ), covered AS (
-  SELECT r, count(DISTINCT at) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS at FROM twice) GROUP BY r
+  SELECT r, count(DISTINCT spot) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS spot FROM twice) GROUP BY r
 ), lines AS (
   SELECT r, line, place FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS place FROM d)
 ), normal AS (
-  SELECT l.r, l.place, l.line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz    '), ' +', ' ', 'g'), ' ') AS norm
+  SELECT l.r, l.place, l.line, trim(regexp_replace(translate(lower(line), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' +', ' ', 'g'), ' ') AS norm
   FROM lines l
 ), dup AS (
   SELECT r, count(*) - count(DISTINCT line) AS n FROM normal WHERE norm <> '' GROUP BY r
@@ -29,7 +29,7 @@ WITH d AS (
   WHERE norm <> '' AND d.text IS NOT NULL
   GROUP BY d.host, norm, h.docs HAVING count(DISTINCT d.text) > 5 AND count(DISTINCT d.text) > h.docs * 0.1
 ), lost AS (
-  SELECT n.r, sum(len(list_filter(string_split(n.norm, ' '), x -> x <> ''))) AS words
+  SELECT n.r, sum(len(list_filter(string_split(n.norm, ' '), lambda x: x <> ''))) AS words
   FROM normal n JOIN d USING (r) JOIN common c ON c.host = d.host AND c.norm = n.norm GROUP BY n.r
 ), counts AS (
   SELECT d.doc_id, len(w.words)::BIGINT AS n_words,
