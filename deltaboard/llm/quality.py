@@ -54,11 +54,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(_let(placed, of))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    grams = _let(
-        hashes,
-        lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda i: F.xxhash64(F.slice(h, i, window))),
-    )
+    places = F.sequence(F.lit(1), F.size(words) - window + 1)
+    grams = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(window)]))
     return F.when(F.size(words) > window, _let(grams, covered)).otherwise(F.lit(0)).cast("long")
 
 
@@ -103,6 +100,7 @@ def quality_rules(
     least_docs: int = LEAST_DOCS,
     host_share: float = HOST_SHARE,
     host: str = "source",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Verdict columns for every row of ``docs(doc_id, text, <host>)``; the text comes back as ``clean_text``.
 
@@ -114,12 +112,13 @@ def quality_rules(
     The common lines are staged first: their size is then known, and Spark
     broadcasts them only if they are small. A null text has no words and fails; a
     null host is a host of its own. Repeated rows each get their verdict. An empty
-    table gives no rows. Other columns are ignored. Only built-in functions run.
+    table gives no rows. Of other columns only those in ``keep`` pass through.
+    Only built-in functions run.
     """
     common = stage(common_lines(docs, least_docs, host_share, host), "common-lines")
     rows = docs.select(
         "doc_id", F.col("text").alias("raw"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.col(host), F.lit("")).alias("host"),
+        F.coalesce(F.col(host), F.lit("")).alias("host"), *keep,
     ).join(common, "host", "left")
     gone = F.coalesce(F.col("lines"), F.array().cast("array<bigint>"))
     split = F.split("text", "\n")
@@ -136,7 +135,7 @@ def quality_rules(
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _let(words_of(F.col("text")), lambda w: repeated_words(w)).alias("n_repeat_words"),
-        clean.alias("clean"),
+        clean.alias("clean"), *keep,
     )
     judged = measured.select(
         "*",
@@ -147,5 +146,5 @@ def quality_rules(
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & enough).alias("kept"), "n_words_left",
-        F.when(F.col("raw").isNotNull(), F.col("clean")).alias("clean_text"),
+        F.when(F.col("raw").isNotNull(), F.col("clean")).alias("clean_text"), *keep,
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaboard.llm.quality import quality_rules
+from deltaboard.llm.repeats import remove_repeats
 from deltaboard.llm.sharding import balanced_shards
 from deltaboard.llm.simhash import near_copies
 from deltaboard.llm.tables import table
@@ -33,10 +34,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), Staging(spark)).drop("clean_text")
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), Staging(spark)).drop("kept", "spans")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), Staging(spark))
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_token_files, op4_sharding, op7_quality_rules, op9_simhash]
+    named = [op1_token_files, op4_sharding, op7_quality_rules, op8_suffix_array, op9_simhash]
     return {f.__name__: f for f in named}
