@@ -7,10 +7,14 @@ stage's ``docs``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaboard.llm.containment import contained_items
+from deltaboard.llm.pieces import encode_samples
 from deltaboard.llm.quality import quality_rules
+from deltaboard.llm.secrets import redact, scan_secrets
 from deltaboard.llm.simhash import near_copies
 from deltaboard.llm.tables import table
 from deltaboard.session import Staging
@@ -19,24 +23,48 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rejected documents and the lines that too many documents of a host share."""
-    judged = quality_rules(docs.select(*COLUMNS), Staging(spark), keep=("lang",))
+    """Drops rejected documents, and from the others the lines that too many documents of their host share."""
+    judged = quality_rules(docs, Staging(spark), keep=("lang", "source"))
     return judged.where("kept").select(
-        "doc_id", F.col("clean_text").alias("text"), "lang", F.col("host").alias("source"),
-        F.length("clean_text").cast("long").alias("n_chars"),
+        "doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars")
     )
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies."""
+    """Keeps the document with the least id of each group of near copies, and every row without an id."""
     groups = near_copies(docs, Staging(spark))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item."""
+    found = contained_items(docs, table(spark, sf_dir, "benchmark"))
+    hit = Staging(spark)(found.select("doc_id").distinct(), "contaminated")
+    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
 
-# The near-copy fingerprints, trained models and sampled segmentations have no SQL form.
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by a filler; all documents stay."""
+    stage = Staging(spark)
+    clean = redact(docs, stage(scan_secrets(docs, stage), "findings"), COLUMNS)
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled SentencePiece ids of every document."""
+    return encode_samples(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("encoding", encoding),
+]
+
+# The near-copy fingerprints, the trained forest and the sampled segmentations have no SQL form.
 ORACLE_SQL = None
 
 
