@@ -144,6 +144,9 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     """
     if not isinstance(html, str) or not html:
         return ""
+    cut = html.rfind("<")  # a page may break off inside a tag
+    if cut >= 0 and ">" not in html[cut:] and (html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] in ("/", "!", "")):
+        html = html[:cut]
     parser = PageParser()
     parser.feed(html)
     blocks = [b for b in parser.finish() if not b.side]
