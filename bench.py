@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,7 +33,10 @@ DRIVING = {
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(
-        os.environ.get("BENCH_CPUS", "8"), "12g", **{"spark.python.sql.dataFrameDebugging.enabled": "false"}
+        os.environ.get("BENCH_CPUS", "8"), "12g", **{
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="deltaboard-bench-"),
+        },
     )
     spark.sparkContext.setLogLevel("OFF")
     known = all_queries()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +31,10 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without it: there a temporary folder is set. On
-    a cluster a machine-local folder would be lost with its machine.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which all machines must reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("spark.checkpoint.dir must name a shared folder")
-    folder = tempfile.mkdtemp(prefix="deltaboard-")
-    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -51,15 +42,23 @@ class Staging:
     """Tables written once to the shared folder for results that several branches use.
 
     Reading back cuts the lineage, survives the loss of executors, and lets each
-    branch read only the columns it needs. ``close`` removes the folder.
+    branch read only the columns it needs. ``close`` removes the folder, as does
+    leaving a ``with`` block, failed or not.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.folder = f"{shared_folder(spark).rstrip('/')}/staged/{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.made = spark, 0
+        self.folder = f"{(folder or shared_folder(spark)).rstrip('/')}/staged/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.close()
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
+        self.made += 1
+        path = f"{self.folder}/{self.made:03d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,6 +11,9 @@ from deltaboard.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "6g", **{"spark.python.sql.dataFrameDebugging.enabled": "false"})
+    folder = tempfile.mkdtemp(prefix="deltaboard-tests-")
+    session = local_session(
+        4, "6g", **{"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.checkpoint.dir": folder}
+    )
     session.sparkContext.setLogLevel("OFF")
     yield session
