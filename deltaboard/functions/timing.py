@@ -22,9 +22,10 @@ def clock(now: Column | datetime | str) -> Column:
 
 
 def to_epoch_ms(value: Column) -> Column:
-    """Epoch milliseconds of a text watermark: number, instant, or zoneless UTC; else 0.
+    """Epoch milliseconds of a watermark: number, instant, or zoneless UTC; else 0.
 
-    The shapes are checked first because a plain cast also accepts partial dates.
+    The shapes of texts are checked first because a plain cast also accepts partial
+    dates. Columns of fractional types lose their fraction.
     """
     text = F.upper(strip_blanks(value.cast("string")))
     number = F.when(text.rlike(r"^[+-]?\d{1,19}$"), text.try_cast("bigint"))
@@ -37,7 +38,10 @@ def to_epoch_ms(value: Column) -> Column:
         text.rlike(rf"^{_DATE_TIME}(?::\d{{2}}{_FRACTION})?$"),
         F.unix_millis(F.concat(to_seconds, F.lit("Z")).try_cast("timestamp")),
     )
-    return F.coalesce(number, instant, zoneless, F.lit(0).cast("bigint"))
+    fractional = F.when(
+        F.typeof(value).rlike("^(double|float|decimal)"), value.cast("string").try_cast("double").try_cast("bigint")
+    )
+    return F.coalesce(fractional, number, instant, zoneless, F.lit(0).cast("bigint"))
 
 
 def numeric_prefix(value: Column) -> Column:

@@ -24,15 +24,14 @@ def delta_sync(
     since = None
     if last:
         since = source.sparkSession.range(1).select(to_epoch_ms(F.lit(last))).head()[0]
-    stage = Staging(source.sparkSession)
-    delta = stage(replicate.delta_since(source, stamp, since), collection)
-    usable = delta.where(F.col(key).isNotNull())
-    newest = replicate.newest_ms(usable, stamp, last).head()[0]
-    if not delta.isEmpty():
-        target.upsert(usable, key, [F.col(stamp)])
-        if newest > 0:
-            checkpoints.advance(collection, str(newest))
-    stage.close()
+    with Staging(source.sparkSession) as stage:
+        delta = stage(replicate.delta_since(source, stamp, since), collection)
+        usable = delta.where(F.col(key).isNotNull())
+        newest = replicate.newest_ms(usable, stamp, last).head()[0]
+        if not delta.isEmpty():
+            target.upsert(usable, key, [F.col(stamp)])
+            if newest > 0:
+                checkpoints.advance(collection, str(newest))
     return checkpoints.get(collection)
 
 
@@ -43,24 +42,29 @@ def apply_feed(
     collection: str,
     key: str,
     stamp: str,
-    version: int | None = None,
+    batch: int | None = None,
 ) -> None:
-    """Change events (op, change_seq) into the table; then advance the checkpoint."""
-    last = checkpoints.get(collection, version)
-    target.apply(changes, key, [F.col("change_seq")], "op", version)
-    live = changes.where(F.upper("op") != replicate.REMOVED)
-    newest = replicate.newest_ms(live, stamp, last).head()[0]
-    checkpoints.advance(collection, str(newest) if newest > 0 else (last or "0"), version)
+    """Change events (op, change_seq) into the table; then advance the checkpoint.
+
+    An event without ``op`` is an upsert. The checkpoint never moves back.
+    """
+    last = checkpoints.get(collection, batch)
+    with Staging(changes.sparkSession) as stage:
+        staged = stage(changes, f"{collection}_feed")
+        target.apply(staged, key, [F.col("change_seq")], "op", batch)
+        op = F.coalesce(F.upper("op"), F.lit(replicate.MODIFIED))
+        newest = replicate.newest_ms(staged.where(op != replicate.REMOVED), stamp, last).head()[0]
+    checkpoints.advance(collection, str(newest) if newest > 0 else (last or "0"), batch)
 
 
-def mirror_subscriptions(doc: DataFrame, mirror: VersionedTable, version: int | None = None) -> None:
+def mirror_subscriptions(doc: DataFrame, mirror: VersionedTable, batch: int | None = None) -> None:
     """Keep the durable set in step with the subscription document.
 
     A missing document, or one without counts, leaves the mirror as it is.
     """
     usable = doc.where(F.col("stationCounts").isNotNull())
     if usable.isEmpty():
-        if version is not None:
-            mirror.write(mirror.read(version), version)
+        if batch is not None:
+            mirror.write(mirror.read(batch), batch)
         return
-    mirror.replace_set(active_stations(usable), "naptan_id", version)
+    mirror.replace_set(active_stations(usable), "naptan_id", batch)

@@ -1,8 +1,11 @@
 """Keyed tables as versioned Parquet folders.
 
-Each write makes a new folder ``v=<n>``. A version exists once its ``_SUCCESS``
-file does, which Spark writes last, so readers see a whole version or the one
-before. Writing a version again, as a replayed micro-batch does, replaces it.
+Each write makes a new folder ``v=<n>``, or ``v=<n>-batch-<id>`` for a micro-batch.
+A version exists once its ``_SUCCESS`` file does, which Spark writes last, so
+readers see a whole version or the one before. A batch builds on the newest
+version that it did not write itself, so boot loads and streams may share a table,
+and a replayed batch replaces its own version. One stream writes a table; a stream
+that starts anew with batch 0 needs a new table as it needs a new progress folder.
 """
 
 from __future__ import annotations
@@ -20,52 +23,71 @@ class VersionedTable:
         self.path = path.rstrip("/")
         self.schema = schema
 
-    def versions(self) -> list[int]:
-        """Complete versions, oldest first."""
+    def _listed(self) -> list[tuple[int, int | None, str]]:
+        """(number, batch, folder) of the complete versions, oldest first."""
         jvm = self.spark._jvm
         pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")
         fs = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(pattern) or []
-        return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
-
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v={version}"
-
-    def current(self, before: int | None = None) -> int | None:
-        usable = [v for v in self.versions() if before is None or v < before]
-        return usable[-1] if usable else None
+        listed = []
+        for status in fs.globStatus(pattern) or []:
+            folder = status.getPath().getParent().getName()
+            number, _, batch = folder[2:].partition("-batch-")
+            listed.append((int(number), int(batch) if batch else None, folder))
+        return sorted(listed, key=lambda v: v[0])
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest version (older than ``before``), empty if there is none."""
-        version = self.current(before)
-        if version is None:
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, oldest first."""
+        return [number for number, _, _ in self._listed()]
+
+    def _base(self, batch: int | None) -> tuple[list[tuple[int, int | None, str]], tuple[int, int | None, str] | None]:
+        """Versions that ``batch`` builds on, and the version it wrote before, if any.
+
+        Only the last batch of a stream is ever replayed.
+        """
+        listed = self._listed()
+        streamed = [v for v in listed if v[1] is not None]
+        if batch is None or not streamed or streamed[-1][1] != batch:
+            return listed, None
+        mine = streamed[-1]
+        return [v for v in listed if v[0] < mine[0]], mine
+
+    def current(self, batch: int | None = None) -> int | None:
+        usable, _ = self._base(batch)
+        return usable[-1][0] if usable else None
+
+    def read(self, batch: int | None = None) -> DataFrame:
+        """The newest version, or the one that ``batch`` builds on; empty if there is none."""
+        usable, _ = self._base(batch)
+        if not usable:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(version))
-
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        if version is None:
-            newest = self.current()
-            version = 0 if newest is None else newest + 1
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{usable[-1][2]}")
+
+    def write(self, df: DataFrame, batch: int | None = None) -> int:
+        usable, mine = self._base(batch)
+        if mine is not None:
+            number, _, folder = mine
+        else:
+            number = usable[-1][0] + 1 if usable else 0
+            folder = f"v={number}" if batch is None else f"v={number}-batch-{batch}"
         columns = [F.col(name).cast(kind).alias(name) for name, kind in self.schema.types.items()]
-        df.select(*columns).write.mode("overwrite").parquet(self._folder(version))
-        return version
+        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        return number
 
-    def clear(self, version: int | None = None) -> int:
-        return self.write(self.spark.createDataFrame([], self.schema), version)
+    def clear(self, batch: int | None = None) -> int:
+        return self.write(self.spark.createDataFrame([], self.schema), batch)
 
-    def upsert(self, rows: DataFrame, key: str, order: list | None = None, version: int | None = None) -> int:
-        ranks = order or [F.lit(1)]
-        return self.write(replicate.upsert(self.read(version), rows, key, ranks), version)
+    def upsert(self, rows: DataFrame, key: str, order: list, batch: int | None = None) -> int:
+        return self.write(replicate.upsert(self.read(batch), rows, key, order), batch)
 
-    def apply(self, changes: DataFrame, key: str, order: list, op: str = "op", version: int | None = None) -> int:
-        return self.write(replicate.merge_changes(self.read(version), changes, key, order, op), version)
+    def apply(self, changes: DataFrame, key: str, order: list, op: str = "op", batch: int | None = None) -> int:
+        return self.write(replicate.merge_changes(self.read(batch), changes, key, order, op), batch)
 
-    def delete(self, keys: DataFrame, key: str, version: int | None = None) -> int:
-        return self.write(replicate.delete_keys(self.read(version), keys, key), version)
+    def delete(self, keys: DataFrame, key: str, batch: int | None = None) -> int:
+        return self.write(replicate.delete_keys(self.read(batch), keys, key), batch)
 
-    def replace_set(self, ids: DataFrame, key: str, version: int | None = None) -> int:
+    def replace_set(self, ids: DataFrame, key: str, batch: int | None = None) -> int:
         """Swap in a whole set; a failing write leaves the old version current."""
-        return self.write(replicate.replacement_set(ids, key), version)
+        return self.write(replicate.replacement_set(ids, key), batch)
 
     def count(self) -> DataFrame:
         return self.read().agg(F.count(F.lit(1)).alias("n"))
@@ -82,11 +104,11 @@ class Checkpoints:
     def __init__(self, table: VersionedTable):
         self.table = table
 
-    def get(self, collection: str, before: int | None = None) -> str | None:
-        rows = self.table.read(before).where(F.col("key") == self.PREFIX + collection).select("value").head(1)
+    def get(self, collection: str, batch: int | None = None) -> str | None:
+        rows = self.table.read(batch).where(F.col("key") == self.PREFIX + collection).select("value").head(1)
         return rows[0][0] if rows else None
 
-    def advance(self, collection: str, value: str, version: int | None = None) -> int:
+    def advance(self, collection: str, value: str, batch: int | None = None) -> int:
         spark = self.table.spark
         incoming = spark.createDataFrame([(self.PREFIX + collection, value)], self.table.schema)
-        return self.table.write(replicate.advance(self.table.read(version), incoming), version)
+        return self.table.write(replicate.advance(self.table.read(batch), incoming), batch)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaboard import schemas
+from deltaboard.functions.timing import to_epoch_ms
 from deltaboard.operators import replicate
 from deltaboard.plans import replication
 from deltaboard.plans.arrivals import run_cycles
@@ -86,6 +87,29 @@ def test_delta_sync(spark, table, marks):
     assert sync([]) == "21"
 
 
+def test_boot_then_feed_then_replay(spark, table, marks):
+    """Boot rows outlive the first batch; a replay and a later boot change nothing; the mark never goes back."""
+    boot = spark.createDataFrame([("a", "1", 10), ("b", "1", 20)], DOC)
+    assert replication.delta_sync(boot, table, marks, "docs", "id", "stamp") == "20"
+    feed = f"{DOC}, op string, change_seq bigint"
+    first = spark.createDataFrame([("c", "1", 15, None, 1)], feed)
+    second = spark.createDataFrame([("a", None, None, "REMOVED", 2), ("c", "2", 30, None, 3)], feed)
+    apply = lambda rows, batch: replication.apply_feed(rows, table, marks, "docs", "id", "stamp", batch)
+    for _ in range(2):
+        apply(first, 0)
+        assert rows_of(table.read()) == [("a", "1", 10), ("b", "1", 20), ("c", "1", 15)]
+        assert marks.get("docs") == "20"
+    apply(second, 1)
+    assert replication.delta_sync(boot, table, marks, "docs", "id", "stamp") == "30"
+    apply(second, 1)
+    assert rows_of(table.read()) == [("b", "1", 20), ("c", "2", 30)] and marks.get("docs") == "30"
+
+
+def test_watermarks_of_fractional_types(spark):
+    got = spark.sql("select 1748372000000.0D as d, cast(1748372000000.50 as decimal(20, 2)) as m, '12.5' as t")
+    assert tuple(got.select(*[to_epoch_ms(F.col(c)) for c in "dmt"]).head()) == (1748372000000, 1748372000000, 0)
+
+
 def test_merge_takes_the_last_change(spark):
     base = spark.createDataFrame([("a", "0", 0), ("b", "0", 0)], DOC)
     feed = spark.createDataFrame(
