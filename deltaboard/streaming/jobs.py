@@ -33,6 +33,17 @@ def _start(
     return writer.start()
 
 
+def tables_of_batch(tables: dict, batch: DataFrame) -> dict:
+    """``tables`` with boards and planned cut to the cycles that ``batch`` has arrivals of."""
+    cycles = batch.select("mode", "cycle").distinct()
+    cut = {
+        name: tables[name].join(cycles, ["mode", "cycle"], "left_semi")
+        for name in ("boards", "planned")
+        if tables.get(name) is not None
+    }
+    return tables | cut
+
+
 def station_updates(
     stream: DataFrame,
     root: str,
@@ -45,20 +56,21 @@ def station_updates(
 
     A cycle must land in one file (or one trigger), so that it is whole in its
     micro-batch. ``context`` is called per batch and returns the tables to use:
-    boards, planned, departing, subscribed, patterns.
+    boards, planned, departing, subscribed, patterns. Boards and planned may hold
+    other cycles too; only those of the batch are used.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         table = VersionedTable(spark, f"{root}/state/stations", schemas.STATION_STATE)
-        stage = Staging(spark)
-        result = arrivals_plan.run_cycles(
-            batch, state=table.read(batch_id), stage=stage, settings=settings, **context(spark)
-        )
-        table.write(result.state, batch_id)
-        both = result.messages.withColumn("channel", F.explode(F.array(F.lit(PUSH), F.lit(STREAM))))
-        write_outbox(pending(both, [F.col("cycle")], settings), f"{root}/outbox/stations", batch_id)
-        stage.close()
+        with Staging(spark) as stage:
+            tables = tables_of_batch(context(spark), batch)
+            result = arrivals_plan.run_cycles(
+                batch, state=table.read(batch_id), stage=stage, settings=settings, **tables
+            )
+            table.write(result.state, batch_id)
+            both = result.messages.withColumn("channel", F.explode(F.array(F.lit(PUSH), F.lit(STREAM))))
+            write_outbox(pending(both, [F.col("cycle")], settings), f"{root}/outbox/stations", batch_id)
 
     return _start(stream, handle, f"{root}/progress/stations", every)
 
@@ -72,22 +84,21 @@ def status_updates(
         spark = batch.sparkSession
         table = VersionedTable(spark, f"{root}/state/statuses", schemas.STATUS_STATE)
         state = table.read(batch_id)
-        stage = Staging(spark)
-        result = statuses_plan.run_syncs(
-            batch,
-            stage=stage,
-            updated_ms=F.unix_millis(F.current_timestamp()),
-            state=state,
-            primed=not state.isEmpty(),
-            settings=settings,
-        )
-        table.write(result.state, batch_id)
-        write_outbox(
-            pending(result.messages, [F.col("sync_id"), F.col("feed_seq")], settings),
-            f"{root}/outbox/statuses",
-            batch_id,
-        )
-        stage.close()
+        with Staging(spark) as stage:
+            result = statuses_plan.run_syncs(
+                batch,
+                stage=stage,
+                updated_ms=F.unix_millis(F.current_timestamp()),
+                state=state,
+                primed=not state.isEmpty(),
+                settings=settings,
+            )
+            table.write(result.state, batch_id)
+            write_outbox(
+                pending(result.messages, [F.col("sync_id"), F.col("feed_seq")], settings),
+                f"{root}/outbox/statuses",
+                batch_id,
+            )
 
     return _start(stream, handle, f"{root}/progress/statuses", every)
 

@@ -110,6 +110,15 @@ def test_watermarks_of_fractional_types(spark):
     assert tuple(got.select(*[to_epoch_ms(F.col(c)) for c in "dmt"]).head()) == (1748372000000, 1748372000000, 0)
 
 
+def test_boards_are_cut_to_the_cycles_of_the_batch(spark):
+    rows = [("bus", 1, "x"), ("bus", 2, "x"), ("tube", 1, "x"), (None, 1, "x")]
+    boards = spark.createDataFrame(rows, "mode string, cycle bigint, naptan_id string")
+    batch = spark.createDataFrame([("bus", 1), ("bus", 1), (None, 1)], "mode string, cycle bigint")
+    got = jobs.tables_of_batch({"boards": boards, "planned": None, "patterns": {"a": 1}}, batch)
+    assert rows_of(got["boards"]) == [("bus", 1, "x")]
+    assert got["planned"] is None and got["patterns"] == {"a": 1}
+
+
 def test_merge_takes_the_last_change(spark):
     base = spark.createDataFrame([("a", "0", 0), ("b", "0", 0)], DOC)
     feed = spark.createDataFrame(
