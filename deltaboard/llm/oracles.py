@@ -46,6 +46,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+# The phrases of op13: every phrase of 1 to 4 words is counted, then the candidates are cut, dropped and ranked.
+PHRASES = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9), 'abcdefghijklmnopqrstuvwxyz ') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), q AS (
+  SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM p
+), f AS (
+  SELECT lang, size, ws, count(*) AS f FROM (
+    SELECT lang, size, w[i:i + size - 1] AS ws
+    FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM q, (VALUES (1), (2), (3), (4)) AS s(size))
+  ) GROUP BY ALL
+), total AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT lang, size, ws, f AS a FROM f WHERE size > 1 AND f >= 30
+), around AS (
+  SELECT lang, part, max(a) AS most FROM (
+    SELECT lang, a, ws[i:i + short - 1] AS part
+    FROM (SELECT lang, a, ws, short, unnest(range(1, size - short + 2)) AS i FROM c, (VALUES (2), (3)) AS s(short) WHERE short < size)
+  ) GROUP BY ALL
+), cut AS (
+  SELECT c.lang, c.ws, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]
+), worst AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS place FROM cut
+), best AS (
+  SELECT w.lang, array_to_string(w.ws, ' ') AS phrase, a, l, r, score::BIGINT AS score
+  FROM worst w LEFT JOIN around o ON o.lang = w.lang AND o.part = w.ws
+  WHERE place = 1 AND (most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op7_quality_rules": QUALITY}
+    return {"op7_quality_rules": QUALITY, "op13_phrases": PHRASES}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from deltaboard.llm.containment import contained_items
 from deltaboard.llm.language import held_out, predict_language, word_counts
 from deltaboard.llm.maintext import extract_pages
+from deltaboard.llm.phrases import collocations
 from deltaboard.llm.pieces import encode_samples
 from deltaboard.llm.quality import quality_rules
 from deltaboard.llm.repeats import remove_repeats
@@ -72,9 +73,13 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), Staging(spark))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_token_files, op2_language, op3_decontamination, op4_sharding, op5_secrets, op6_sentencepiece,
-        op7_quality_rules, op8_suffix_array, op9_simhash, op10_html,
+        op7_quality_rules, op8_suffix_array, op9_simhash, op10_html, op13_phrases,
     ]
     return {f.__name__: f for f in named}
