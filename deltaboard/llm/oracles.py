@@ -54,30 +54,41 @@ WITH d AS (
 ), p AS (
   SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
 ), q AS (
-  SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM p
+  SELECT lang, row_number() OVER () AS k, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM p
+), w AS (
+  SELECT lang, k, unnest(w) AS w1, generate_subscripts(w, 1) AS pos FROM q
+), g AS (
+  SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4
+  FROM w WINDOW o AS (PARTITION BY k ORDER BY pos)
 ), f AS (
-  SELECT lang, size, ws, count(*) AS f FROM (
-    SELECT lang, size, w[i:i + size - 1] AS ws
-    FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM q, (VALUES (1), (2), (3), (4)) AS s(size))
+  SELECT lang, phrase, size, count(*) AS f FROM (
+    SELECT lang, w1 AS phrase, 1 AS size FROM g
+    UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM g WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3 FROM g WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM g WHERE w4 IS NOT NULL
   ) GROUP BY ALL
 ), total AS (
   SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), enough AS (
+  SELECT * FROM f WHERE f >= 30
 ), c AS (
-  SELECT lang, size, ws, f AS a FROM f WHERE size > 1 AND f >= 30
+  SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM enough WHERE size > 1
 ), around AS (
   SELECT lang, part, max(a) AS most FROM (
-    SELECT lang, a, ws[i:i + short - 1] AS part
+    SELECT lang, a, array_to_string(ws[i:i + short - 1], ' ') AS part
     FROM (SELECT lang, a, ws, short, unnest(range(1, size - short + 2)) AS i FROM c, (VALUES (2), (3)) AS s(short) WHERE short < size)
   ) GROUP BY ALL
+), sides AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
 ), cut AS (
-  SELECT c.lang, c.ws, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
-  JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]
+  SELECT s.lang, s.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM sides s JOIN enough x ON x.lang = s.lang AND x.phrase = head JOIN enough y ON y.lang = s.lang AND y.phrase = tail
 ), worst AS (
-  SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS place FROM cut
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cut
 ), best AS (
-  SELECT w.lang, array_to_string(w.ws, ' ') AS phrase, a, l, r, score::BIGINT AS score
-  FROM worst w LEFT JOIN around o ON o.lang = w.lang AND o.part = w.ws
+  SELECT w.lang, w.phrase, a, l, r, score::BIGINT AS score
+  FROM worst w LEFT JOIN around o ON o.lang = w.lang AND o.part = w.phrase
   WHERE place = 1 AND (most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT)
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best

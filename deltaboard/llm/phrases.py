@@ -28,7 +28,7 @@ from deltaboard.session import Staging
 LONGEST, LEAST, TOP = 4, 30, 2000
 SCALE = 2_000_000
 #: Words after which a chunk of documents is closed; a document is never cut.
-CHUNK = 1_000_000
+CHUNK = 300_000
 #: Up to this many bytes, as counted, the frequent phrases of a length are broadcast; beyond, both sides shuffle.
 BROADCAST_BYTES = 32 << 20
 #: A phrase inside a longer one with this percentage of its count is dropped.

@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaboard.llm.audit import repair_damaged
 from deltaboard.llm.containment import contained_items
 from deltaboard.llm.language import held_out, predict_language, word_counts
 from deltaboard.llm.maintext import extract_pages
+from deltaboard.llm.neighbours import nearest_rows
 from deltaboard.llm.phrases import collocations
 from deltaboard.llm.pieces import encode_samples
 from deltaboard.llm.quality import quality_rules
@@ -73,6 +75,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_rows(table(spark, sf_dir, "embeddings"), Staging(spark), top=20, every=20)
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"), Staging(spark))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), Staging(spark))
 
@@ -80,6 +90,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_token_files, op2_language, op3_decontamination, op4_sharding, op5_secrets, op6_sentencepiece,
-        op7_quality_rules, op8_suffix_array, op9_simhash, op10_html, op13_phrases,
+        op7_quality_rules, op8_suffix_array, op9_simhash, op10_html, op11_neighbours, op12_conversations,
+        op13_phrases,
     ]
     return {f.__name__: f for f in named}
