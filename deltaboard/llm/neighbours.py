@@ -311,6 +311,7 @@ def nearest_rows(
     """
     usable = stage(usable_vectors(rows, key, vector), "vectors")
     graph = build_graph(usable, stage, members=top + 1)
+    length = graph.width - 1
     asked = usable.where(F.pmod("key", F.lit(every)) == 0)
     queries = stage(asked.select(F.monotonically_increasing_id().alias("q"), F.col("key").alias("query_id"), "vector"), "asked")
     found = greedy_search(graph, queries, stage)
@@ -319,7 +320,7 @@ def nearest_rows(
     drop = F.when(own, F.array_position(F.transform("members", lambda m: m["key"]), F.col("query_id")) - 1)
     ready = pairs.select("q", "query_id", "members.key", "vector", "q_vector", F.coalesce(drop, F.lit(-1)).cast("bigint").alias("own"))
     scored = ready.mapInArrow(
-        lambda b: _products(b, graph.width - 1), "q bigint, query_id bigint, key array<bigint>, own bigint, score double"
+        lambda b: _products(b, length), "q bigint, query_id bigint, key array<bigint>, own bigint, score double"
     )
     each = scored.select("q", "query_id", "score", "own", F.posexplode("key").alias("_pos", "vec_id")).where("_pos <> own")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
