@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from deltaboard.session import Staging
 
 #: Neighbours of a node, nodes that name it (new and old each), offers that a node takes from one other.
-DEGREE, REVERSE, OFFERS = 20, 10, 4
+DEGREE, REVERSE, OFFERS = 36, 16, 4
 #: Random orders at the start, nodes in a block of one, sign bits of an order.
-ORDERS, BLOCK, BITS = 3, 64, 12
+ORDERS, BLOCK, BITS = 4, 256, 10
 #: Rounds end when so small a share of all neighbours is new, or after so many.
-ENOUGH, ROUNDS = 0.02, 8
+ENOUGH, ROUNDS = 0.05, 12
 #: Nodes that a walk remembers, those it looks beyond in one step, and nodes (a bounded sample) where every walk starts.
-BEAM, AHEAD, PIVOTS = 128, 16, 256
+BEAM, AHEAD, PIVOTS = 240, 48, 256
 
 _EDGE = "u bigint, v bigint, sim float, fresh boolean"
 
@@ -244,7 +244,9 @@ def greedy_search(
 ) -> DataFrame:
     """``(q, node)`` of the nodes that the walk of each query ``(q, vector)`` ends with.
 
-    A walk begins with the best of ``pivots`` nodes. Each step looks at the
+    A walk begins with the best of ``pivots`` nodes, and with the query's own
+    node if its vector is in the graph: queries from elsewhere need a wider
+    ``beam`` for the same recall. Each step looks at the
     neighbours of the best ``ahead`` nodes not looked at so far, and remembers
     the ``beam`` best of all it met; the walk ends when none is left to look at.
     """
@@ -269,7 +271,9 @@ def greedy_search(
                 cells = [batch.column("q").take(pa.array(i)), pa.array(ids[j]), pa.array(sims[i, j])]
                 yield pa.RecordBatch.from_arrays(cells, names=["q", "node", "sim"])
 
-    start = asked.mapInArrow(begin, "q bigint, node bigint, sim float").withColumn("done", F.lit(False))
+    home = queries.select("q", "vector").join(graph.nodes.select("node", "vector"), "vector").select("q", "node")
+    home = home.select("q", "node", F.lit(float("inf")).cast("float").alias("sim"))
+    start = asked.mapInArrow(begin, "q bigint, node bigint, sim float").unionByName(home).withColumn("done", F.lit(False))
     met, step = stage(_beams(start, beam), "walk0"), 0
     while True:
         step += 1
