@@ -15,11 +15,12 @@ word or phrase is one row per chunk.
 from __future__ import annotations
 
 import functools
-import uuid
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +39,14 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(UPPER + b"\t" + BREAKS, LOWER + b" " + b"\n" * len(BREAKS))
 
-FIRST = "chunk string, lang string, items array<int>, words array<binary>, counts array<bigint>"
-NEXT = "chunk string, items array<int>, a array<bigint>, b array<bigint>, counts array<bigint>"
+FIRST = "chunk bigint, lang string, items array<int>, words array<binary>, counts array<bigint>"
+NEXT = "chunk bigint, items array<int>, a array<bigint>, b array<bigint>, counts array<bigint>"
 _FIRST = pa.schema([
-    ("chunk", pa.string()), ("lang", pa.string()), ("items", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())),
+    ("chunk", pa.int64()), ("lang", pa.string()), ("items", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())),
     ("counts", pa.list_(pa.int64())),
 ])
 _NEXT = pa.schema([
-    ("chunk", pa.string()), ("items", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())),
+    ("chunk", pa.int64()), ("items", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())),
     ("counts", pa.list_(pa.int64())),
 ])
 
@@ -83,17 +84,19 @@ class _Open:
         self.size += len(words)
         return len(words)
 
-    def row(self, lang: str) -> pa.RecordBatch:
+    def row(self, chunk: int, lang: str) -> pa.RecordBatch:
         items = np.concatenate(self.parts)
         counts = np.bincount(items[items >= 0], minlength=len(self.numbers) - 2)
         words = list(self.numbers)[2:]
-        cells = [uuid.uuid4().hex, lang, _squeezed(items), words, counts]
+        cells = [chunk, lang, _squeezed(items), words, counts]
         return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _FIRST)], schema=_FIRST)
 
 
 def _first(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """The relation of single words from ``lang`` and ``text``."""
     open_, total = {}, 0
+    # Only one attempt of a task is kept, so its partition makes the numbers of its chunks unique.
+    chunks = itertools.count(TaskContext.get().partitionId() << 32)
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if lang not in open_:
@@ -103,9 +106,9 @@ def _first(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordB
                 fullest = max(open_, key=lambda k: open_[k].size)
                 full = open_.pop(fullest)
                 total -= full.size
-                yield full.row(fullest)
+                yield full.row(next(chunks), fullest)
     for lang, rest in open_.items():
-        yield rest.row(lang)
+        yield rest.row(next(chunks), lang)
 
 
 def _extended(left: pa.Table, right: pa.Table) -> pa.Table:
