@@ -17,6 +17,7 @@ from deltaboard.settings import DEFAULTS, WIPE_PATTERNS, Settings
 
 STATE_KEYS = ["mode", "station_key"]
 CHANGED, HEARTBEAT, WIPE = "changed", "heartbeat", "wipe"
+LATE_STATION, LATE_CYCLE = "late_station", "late_cycle"
 
 
 def polls_of(arrivals: DataFrame) -> DataFrame:
@@ -24,9 +25,15 @@ def polls_of(arrivals: DataFrame) -> DataFrame:
     return arrivals.groupBy("mode", "cycle").agg(F.count(F.lit(1)).alias("arrivals"))
 
 
-def polls_of_summary(summary: DataFrame) -> DataFrame:
-    """The same from a feed summary, which has the counts already."""
-    return summary.groupBy("mode", "cycle").agg(F.sum("n").alias("arrivals"))
+def polls_of_summary(summary: DataFrame, polled: DataFrame | None = None) -> DataFrame:
+    """The same from a feed summary, which has the counts already.
+
+    ``polled`` (mode, cycle) adds the polls that have no arrivals.
+    """
+    counts = summary.select("mode", "cycle", "n")
+    if polled is not None:
+        counts = counts.unionByName(polled.select("mode", "cycle", F.lit(0).cast("bigint").alias("n")))
+    return counts.groupBy("mode", "cycle").agg(F.sum("n").alias("arrivals"))
 
 
 def relevant(key: Column, mode: Column, patterns: Mapping[str, str] = WIPE_PATTERNS) -> Column:
@@ -90,6 +97,26 @@ def with_wipe_cycle(
     )
 
 
+def timely(presence: DataFrame, state: DataFrame, settled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split presence rows into those to judge and those that come too late, with the reason.
+
+    A row is late if the state of its station is of the same or a later cycle, or
+    if ``settled`` (mode, cycle) has a cycle of its mode that is not before it: a
+    station that was wiped has no state any more, but the wipe had its cycle.
+    """
+    seen = state.select(*[F.col(c).alias(f"_{c}") for c in STATE_KEYS], F.col("cycle").alias("_judged"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in STATE_KEYS]
+    marked = presence.join(seen, same[0] & same[1], "left").drop(*[f"_{c}" for c in STATE_KEYS])
+    if settled is not None:
+        last = settled.groupBy(F.col("mode").alias("_of")).agg(F.max("cycle").alias("_settled"))
+        marked = marked.join(F.broadcast(last), F.col("mode").eqNullSafe(F.col("_of")), "left").drop("_of")
+    else:
+        marked = marked.withColumn("_settled", F.lit(None).cast("bigint"))
+    reason = F.when(F.col("cycle") <= F.col("_judged"), LATE_STATION).when(F.col("cycle") <= F.col("_settled"), LATE_CYCLE)
+    judged = marked.withColumn("reason", reason).drop("_judged", "_settled")
+    return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
+
+
 def _step_rule(every: int):
     """Last emission after a row: brought in by state, due now, or as before."""
 

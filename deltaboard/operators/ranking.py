@@ -58,8 +58,8 @@ def batched(df: DataFrame, key: str, cap: int, within: Sequence[str] = (), out:
     return numbered(df, key, within, "_seq").withColumn(out, F.floor(F.col("_seq") / cap).cast("bigint")).drop("_seq")
 
 
-def rotated(df: DataFrame, key: str, within: Sequence[str], rotation: int, out: str = "place") -> DataFrame:
-    """Place of each row on a ring per group that starts at ``rotation mod n``."""
+def rotated(df: DataFrame, key: str, within: Sequence[str], rotation: int | Column, out: str = "place") -> DataFrame:
+    """Place of each row on a ring per group that starts at ``rotation mod n``; the rotation may be a column of ``df``."""
     sizes = df.groupBy(*within).agg(F.count(F.lit(1)).alias("_n"))
     ring = numbered(df, key, within, "_seq").join(sizes, list(within))
     return ring.withColumn(out, F.pmod(F.col("_seq") - F.lit(rotation), F.col("_n")).cast("bigint")).drop("_seq", "_n")
@@ -71,14 +71,18 @@ def budgeted_pick(
     """Go through each group in ``order`` and take a row iff its cost still fits.
 
     Rows that do not fit are passed over and later, cheaper ones may be taken.
-    ``cost`` is a positive integer and ``order`` holds orderable columns.
+    ``order`` holds orderable columns. ``cost`` is a positive integer; any other
+    value fails, as such a row would be taken for nothing or passed over unseen.
 
     Among rows of equal cost c the taken ones are the first ones, and at most
     budget // c of them, so no other row can matter. That leaves fewer than
     budget * (1 + ln budget) rows per group for the walk, whatever its size.
     """
     within = list(within)
-    fits = df.where(F.col(cost).between(1, budget))
+    checked = F.when(F.col(cost) >= 1, F.col(cost)).otherwise(
+        F.raise_error(F.concat(F.lit("a cost must be 1 or more, not "), F.coalesce(F.col(cost).cast("string"), F.lit("null"))))
+    )
+    fits = df.where(checked <= budget)
     sort = [F.col(c) for c in [*order, key]]
     able = first_k(fits, [*within, cost], sort, budget, "_nth").where(
         F.col("_nth") <= F.floor(F.lit(budget) / F.col(cost))

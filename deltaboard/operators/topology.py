@@ -97,14 +97,14 @@ def board_candidates(lines: DataFrame, departing: DataFrame) -> DataFrame:
     )
 
 
-def rotated_candidates(candidates: DataFrame, rotation: int) -> DataFrame:
+def rotated_candidates(candidates: DataFrame, rotation: int | Column) -> DataFrame:
     """Termini first, then the through stations on their ring; ``place`` orders both."""
     through = rotated(candidates.where(~F.col("is_terminus")), "naptan_id", ["mode"], rotation)
     termini = candidates.where("is_terminus").withColumn("place", F.lit(-1).cast("bigint"))
     return termini.unionByName(through)
 
 
-def planned_stations(candidates: DataFrame, rotation: int = 0, budget: int = DEFAULTS.board_budget) -> DataFrame:
+def planned_stations(candidates: DataFrame, rotation: int | Column = 0, budget: int = DEFAULTS.board_budget) -> DataFrame:
     """Stations whose boards are read this cycle, under the mode's call budget.
 
     ``rotation`` is a counter that all modes share and that moves on with every

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaboard import schemas
 from deltaboard.functions.text import station_of_topic
 from deltaboard.functions.timing import clock, iso_local
 from deltaboard.operators import assemble, board, changes, countdown, filters
@@ -40,6 +41,8 @@ def station_documents(
         summary = assemble.feed_summary(arrivals)
     stations = assemble.station_spine(summary, planned)
     if boards is not None and planned is not None:
+        # Boards come under the record they were read from.
+        boards = filters.publish_board_aliases(boards)
         asked = boards.join(planned.select(*countdown.KEYS, "line_id"), [*countdown.KEYS, "line_id"], "left_semi")
         usable = board.board_rows(asked, row_now, settings)
         at_boards = arrivals.join(planned.select(*countdown.KEYS).distinct(), countdown.KEYS, "left_semi")
@@ -79,6 +82,7 @@ class CycleResult:
     messages: DataFrame
     state: DataFrame
     summary: DataFrame
+    late: DataFrame
 
 
 def run_cycles(
@@ -90,6 +94,8 @@ def run_cycles(
     departing: DataFrame | None = None,
     subscribed: DataFrame | None = None,
     state: DataFrame | None = None,
+    polled: DataFrame | None = None,
+    settled: DataFrame | None = None,
     patterns: Mapping[str, str] = WIPE_PATTERNS,
     stage: Staging | None = None,
     settings: Settings = DEFAULTS,
@@ -97,20 +103,29 @@ def run_cycles(
     """Any number of cycles, from raw arrival rows to messages and the next state.
 
     Documents are built once and staged: change detection reads their digests,
-    and only the emitted ones are read in full.
+    and only the emitted ones are read in full. ``polled`` (mode, cycle) names the
+    polls, those without arrivals included. Stations whose state is of the same or
+    a later cycle, or whose mode's ``settled`` cycle is, are late: they are listed
+    in ``late`` with the reason and change nothing.
     """
     stage = stage or Staging(arrivals.sparkSession)
     kept = filtered_arrivals(arrivals, subscribed)
     summary = stage(assemble.feed_summary(kept), "summary")
-    polls = changes.polls_of_summary(summary)
+    polls = changes.polls_of_summary(summary, polled)
     docs = stage(
         station_documents(
             kept, now=now, boards=boards, planned=planned, departing=departing, summary=summary, settings=settings
         ),
         "documents",
     )
+    present = docs.select("mode", "station_key", "cycle", "digest")
+    if state is not None or settled is not None:
+        before = state if state is not None else arrivals.sparkSession.createDataFrame([], schemas.STATION_STATE)
+        present, late = changes.timely(present, before, settled)
+    else:
+        late = present.limit(0).withColumn("reason", F.lit(None).cast("string"))
     emissions, after = changes.replay(
-        docs.select("mode", "station_key", "cycle", "digest"),
+        present,
         polls,
         state=state,
         guard=settings.wipe_guard_arrivals,
@@ -125,6 +140,7 @@ def run_cycles(
         station_messages(docs, emissions, stamps),
         after,
         changes.cycle_summary(polls, docs, emissions),
+        late,
     )
 
 

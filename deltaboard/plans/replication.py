@@ -9,11 +9,11 @@ from deltaboard.functions.timing import to_epoch_ms
 from deltaboard.operators import replicate
 from deltaboard.operators.filters import active_stations
 from deltaboard.session import Staging
-from deltaboard.sources.tables import Checkpoints, VersionedTable
+from deltaboard.sources.tables import Checkpoints, KeyedTable, VersionedTable
 
 
 def delta_sync(
-    source: DataFrame, target: VersionedTable, checkpoints: Checkpoints, collection: str, key: str, stamp: str
+    source: DataFrame, target: VersionedTable | KeyedTable, checkpoints: Checkpoints, collection: str, key: str, stamp: str
 ) -> str | None:
     """Boot catch-up: read what is newer than the checkpoint, upsert, advance.
 
@@ -37,7 +37,7 @@ def delta_sync(
 
 def apply_feed(
     changes: DataFrame,
-    target: VersionedTable,
+    target: VersionedTable | KeyedTable,
     checkpoints: Checkpoints,
     collection: str,
     key: str,

@@ -37,7 +37,7 @@ def status_payload(updated_ms: Column) -> Column:
 def run_syncs(
     raw: DataFrame,
     *,
-    updated_ms: Column,
+    updated_ms: Column | None = None,
     state: DataFrame | None = None,
     primed: bool = False,
     index: Column | None = None,
@@ -46,6 +46,8 @@ def run_syncs(
 ) -> StatusResult:
     """Any number of syncs. ``primed``: an earlier run has filled the baseline.
 
+    Payloads carry ``updated_ms``, or without it the time their sync was fetched.
+
     The picked statuses and the judged history are staged: both have several
     readers, and both are far smaller than the raw feed.
     """
@@ -55,6 +57,9 @@ def run_syncs(
         linestatus.status_history(statuses, state=state, index=index, settings=settings), "history"
     )
     rows = linestatus.outbox_rows(history, None if primed else statuses)
+    if updated_ms is None:
+        stamps = raw.groupBy("sync_id").agg(F.unix_millis(F.max("fetched_at")).alias("_fetched_ms"))
+        rows, updated_ms = rows.join(stamps, "sync_id", "left"), F.col("_fetched_ms")
     messages = rows.select(
         F.when(F.col("channel") == "stream", STREAM_LINES).otherwise(F.col("channel")).alias("channel"),
         "sync_id",

@@ -48,7 +48,8 @@ RAW_ROUTE_SEQUENCE = Schema(
 )
 STATUS_ITEM = "struct<statusSeverity:string,statusSeverityDescription:string,reason:string>"
 RAW_LINE_STATUS = Schema(
-    f"sync_id bigint, feed_seq bigint, mode string, id string, name string, lineStatuses array<{STATUS_ITEM}>"
+    "sync_id bigint, feed_seq bigint, fetched_at timestamp, mode string, id string, name string, "
+    f"lineStatuses array<{STATUS_ITEM}>"
 )
 
 # Normalised rows.
@@ -65,6 +66,8 @@ BOARD = Schema(
 PLANNED = Schema(
     "mode string, cycle bigint, naptan_id string, common_name string, line_id string, line_name string"
 )
+# One row per finished poll: how many rows it fetched. Null boards are not waited for.
+POLL = Schema("mode string, cycle bigint, fetched_at timestamp, arrivals bigint, boards bigint")
 DEPARTING = Schema("line_id string, naptan_id string, departing string")
 
 # Documents, in the canonical form: arrays sorted by key, so that they compare
@@ -103,7 +106,9 @@ SYNC_METADATA = Schema("key string, value string")
 
 # State tables.
 STATION_STATE = Schema("mode string, station_key string, cycle bigint, digest string, last_emit bigint")
+FENCE = Schema("mode string, cycle bigint")
 STATUS_STATE = Schema("id string, sync_id bigint, description string, reason string")
+QUEUE = Schema("channel string, topic string, payload string, since bigint")
 OUTBOX = Schema(
     "channel string, topic string, payload string, priority string, ttl_ms bigint, batch_no bigint, batch_id bigint"
 )

@@ -38,6 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """File system and path of a folder or pattern, wherever it is; the one place that reaches for the JVM."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 class Staging:
     """Tables written once to the shared folder for results that several branches use.
 
@@ -63,5 +69,5 @@ class Staging:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = hadoop_path(self.spark, self.folder)
+        fs.delete(path, True)

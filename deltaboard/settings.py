@@ -15,10 +15,14 @@ class Settings:
     unassigned_horizon_minutes: int = 20
     heartbeat_cycles: int = 5
     wipe_guard_arrivals: int = 50
+    # Whole cycles of a mode that may come before one that is not is given up.
+    cycle_patience: int = 3
     payload_bytes: int = 4000
     push_batch: int = 500
     station_batch: int = 250
     line_batch: int = 100
+    # Ticks of half a second between two micro-batches of a 30-second poll; each sends one capped batch.
+    ticks_per_batch: int = 60
     upsert_chunk: int = 100
     board_budget: int = 60
     push_ttl_ms: int = 90_000

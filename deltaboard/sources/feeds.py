@@ -41,6 +41,11 @@ def normalise_arrivals(raw: DataFrame) -> DataFrame:
     )
 
 
+def polls(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False) -> DataFrame:
+    """The poll log: a landing job writes a poll's row after the poll's rows."""
+    return read_feed(spark, path, schemas.POLL, fmt, stream)
+
+
 def boards(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False) -> DataFrame:
     return normalise_boards(read_feed(spark, path, schemas.RAW_BOARD, fmt, stream))
 

@@ -1,5 +1,6 @@
 """Versioned tables, checkpoints, change feeds, outboxes and streams."""
 
+import hashlib
 import json
 import os
 from datetime import datetime, timedelta
@@ -13,9 +14,10 @@ from deltaboard.operators import replicate
 from deltaboard.plans import replication
 from deltaboard.plans.arrivals import run_cycles
 from deltaboard.plans.statuses import run_syncs
+from deltaboard.session import Staging
 from deltaboard.settings import Settings
 from deltaboard.sources import feeds, outbox
-from deltaboard.sources.tables import Checkpoints, VersionedTable
+from deltaboard.sources.tables import Checkpoints, KeyedTable, VersionedTable
 from deltaboard.streaming import jobs
 
 DOC = schemas.Schema("id string, body string, stamp bigint")
@@ -25,8 +27,10 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.fixture
-def table(spark, tmp_path):
+@pytest.fixture(params=["versioned", "keyed"])
+def table(spark, tmp_path, request):
+    if request.param == "keyed":
+        return KeyedTable(spark, str(tmp_path / "t"), DOC, "id", partitions=8)
     return VersionedTable(spark, str(tmp_path / "t"), DOC)
 
 
@@ -48,13 +52,43 @@ def test_upsert_delete_and_clear(spark, table):
 
 
 def test_unfinished_version_is_not_read(spark, table):
-    table.write(spark.createDataFrame([("a", "1", 1)], DOC))
+    table.upsert(spark.createDataFrame([("a", "1", 1)], DOC), "id", [F.col("stamp")])
     broken = spark.createDataFrame([("a", "1", 1)], DOC).withColumn("body", F.raise_error(F.lit("lost")))
     with pytest.raises(Exception):
-        table.write(broken)
+        table.upsert(broken, "id", [F.col("stamp")])
     assert rows_of(table.read()) == [("a", "1", 1)]
 
 
+def test_a_write_costs_what_it_touches(spark, tmp_path):
+    """Of a thousand rows in 16 partitions, a batch on one key makes one partition anew; old versions go, rows stay."""
+    table = KeyedTable(spark, str(tmp_path / "k"), DOC, "id", partitions=16)
+    table.upsert(spark.range(1000).select(F.col("id").cast("string"), F.lit("0" * 200).alias("body"), "id").toDF("id", "body", "stamp"), "id", [F.col("stamp")], 0)
+    size = lambda: {f: sum(os.path.getsize(os.path.join(d, x)) for d, _, xs in os.walk(os.path.join(table.path, "data", f)) for x in xs if x.endswith(".parquet")) for f in os.listdir(os.path.join(table.path, "data"))}
+    first = size()
+    for batch in range(1, 6):
+        table.upsert(spark.createDataFrame([("7", f"v{batch}", batch)], DOC), "id", [F.col("stamp")], batch)
+    made = [n for f, n in size().items() if f not in first]
+    assert len(made) == 5 and max(made) * 8 < sum(first.values())
+    table.delete(spark.createDataFrame([("8",), ("none",), (None,)], "id string"), "id", 6)
+    table.expire(2)
+    assert len(table.versions()) == 2 and len(size()) == 3  # the first write, and two of the single partitions
+    assert table.read().count() == 999 and rows_of(table.find("id", "7")) == [("7", "v5", 5)]
+    assert rows_of(table.find("body", "v5")) == [("7", "v5", 5)] and table.find("id", "8").count() == 0
+    # A replay of the last batch builds on the version before it.
+    table.delete(spark.createDataFrame([("9",)], "id string"), "id", 6)
+    assert table.read().count() == 999 and table.find("id", "8").count() == 1
+    with pytest.raises(ValueError):
+        table.upsert(spark.createDataFrame([("7", "x", 1)], DOC), "body", [F.col("stamp")])
+
+
+def test_old_versions_expire(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "v"), DOC)
+    for i in range(5):
+        table.write(spark.createDataFrame([("a", str(i), i)], DOC), i)
+    table.expire(2)
+    assert table.versions() == [3, 4] and rows_of(table.read()) == [("a", "4", 4)] and rows_of(table.read(4)) == [("a", "3", 3)]
+
+
 def test_set_replacement(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "s"), schemas.SUBSCRIBED)
     table.replace_set(spark.createDataFrame([("a",), ("a",), ("",), (None,), ("b",)], schemas.SUBSCRIBED), "naptan_id")
@@ -115,7 +149,7 @@ def test_boards_are_cut_to_the_cycles_of_the_batch(spark):
     boards = spark.createDataFrame(rows, "mode string, cycle bigint, naptan_id string")
     batch = spark.createDataFrame([("bus", 1), ("bus", 1), (None, 1)], "mode string, cycle bigint")
     got = jobs.tables_of_batch({"boards": boards, "planned": None, "patterns": {"a": 1}}, batch)
-    assert rows_of(got["boards"]) == [("bus", 1, "x")]
+    assert {tuple(r) for r in got["boards"].collect()} == {("bus", 1, "x"), (None, 1, "x")}
     assert got["planned"] is None and got["patterns"] == {"a": 1}
 
 
@@ -234,7 +268,7 @@ def test_change_feed_stream(spark, tmp_path):
         os.utime(os.path.join(folder, f"{i}.json"), (1_700_000_000 + i,) * 2)
     stream = feeds.change_feed(spark, folder, DOC, stream=True)
     jobs.replicate_changes(stream, root, "docs", "id", "stamp", DOC).awaitTermination()
-    assert rows_of(VersionedTable(spark, f"{root}/tables/docs", DOC).read()) == [("b", "2", 9)]
+    assert rows_of(KeyedTable(spark, f"{root}/tables/docs", DOC, "id").read()) == [("b", "2", 9)]
     marks = Checkpoints(VersionedTable(spark, f"{root}/tables/docs_sync", schemas.SYNC_METADATA))
     assert marks.get("docs") == "9"
 
@@ -248,5 +282,32 @@ def test_pending_replaces_and_caps(spark):
     assert all(int(r.payload[1:]) >= 1200 for r in got.where("channel = 'push'").collect())
 
 
+def test_the_queue_against_a_scalar_one(spark, tmp_path):
+    """Three batches with more topics than the cap, a replay, and ticks without messages until nothing is left."""
+    small = Settings(push_batch=3, station_batch=2, line_batch=1, ticks_per_batch=2)
+    caps = {"push": 3, "stream": 2, "stream_lines": 1}
+    line, path = outbox.Queue(spark, str(tmp_path / "queue")), str(tmp_path / "outbox")
+    waiting, sent, expected = {}, [], []
+    batches = [[(c, f"t{(7 * b + i) % 11}", f"{b}-{i}", i) for c in caps for i in range(9)] + [("push", "t1", f"{b}-late", 99)] for b in range(3)]
+    for b in range(8):
+        rows = batches[b] if b < 3 else []
+        for channel, topic, payload, _ in rows:
+            waiting[channel, topic] = (payload, waiting.get((channel, topic), (None, b))[1])
+        for channel, cap in caps.items():
+            mine = sorted((since, hashlib.md5(t.encode()).hexdigest(), t, p) for (c, t), (p, since) in waiting.items() if c == channel)
+            for place, (_, _, topic, payload) in enumerate(mine[: 2 * cap]):
+                expected.append((b, channel, topic, payload, place // cap))
+                del waiting[channel, topic]
+        frame = spark.createDataFrame(rows, "channel string, topic string, payload string, seq int") if rows else None
+        for _ in range(2 if b == 1 else 1):
+            with Staging(spark, str(tmp_path)) as stage:
+                line.tick(frame, [F.col("seq")], path, b, stage, small)
+        left = {(r.channel, r.topic): (r.payload, r.since) for r in line.table.read().collect()}
+        assert left == waiting
+    got = [(r.batch_id, r.channel, r.topic, r.payload, r.batch_no) for r in outbox.read_outbox(spark, path).collect()]
+    assert sorted(got) == sorted(expected) and not waiting
+    assert {r.priority for r in outbox.read_outbox(spark, path).where("channel = 'stream'").collect()} == {None}
+
+
 def test_feed_settings_and_aliases():
     assert feeds.mode_list(" bus, ,tube,") == ["bus", "tube"]
