@@ -16,6 +16,10 @@ SESSION_CONF = {
 }
 
 
+#: Public setting since 4.1; earlier versions do not read it.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("deltaboard")
@@ -53,7 +57,7 @@ class Staging:
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.made = spark, 0
+        self.spark, self.made, self.paths = spark, 0, {}
         self.folder = f"{(folder or shared_folder(spark)).rstrip('/')}/staged/{uuid.uuid4().hex}"
 
     def __enter__(self) -> Staging:
@@ -62,12 +66,27 @@ class Staging:
     def __exit__(self, *failure: object) -> None:
         self.close()
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+    def __call__(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write ``df`` and read it back; ``options`` are the writer's.
+
+        The shuffle files of the write are of no use after it and are removed.
+        """
         self.made += 1
         path = f"{self.folder}/{self.made:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
+        self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Remove the last table of that name, once nothing reads it any more."""
+        fs, path = hadoop_path(self.spark, self.paths.pop(name))
+        fs.delete(path, True)
+
     def close(self) -> None:
         fs, path = hadoop_path(self.spark, self.folder)
         fs.delete(path, True)
