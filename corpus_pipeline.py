@@ -2,7 +2,8 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all rows the stage
 before it kept; its result is written as Parquet and read again as the next
-stage's ``docs``.
+stage's ``docs``. Ids may be null or shared by several rows, texts may be null or
+empty, and other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,36 +24,54 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rejected documents, and from the others the lines that too many documents of their host share."""
+    """Drops rejected documents, and from the others the lines that too many documents of their host share.
+
+    Each row is judged by its own text; null texts have no words and are rejected.
+    """
     judged = quality_rules(docs, Staging(spark), keep=("lang", "source"))
     return judged.where("kept").select(
         "doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars")
     )
 
 
+def numbered(docs: DataFrame, stage: Staging) -> DataFrame:
+    """The documents with a ``row`` of their own: ids may be null or shared, and decisions are about rows."""
+    return stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def by_row(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` for an operator that goes by doc_id, which is the row here."""
+    return rows.select(F.col("row").alias("doc_id"), *columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies, and every row without an id."""
-    groups = near_copies(docs, Staging(spark))
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near copies: the one with the least id, nulls last; of equal ids any one."""
+    stage = Staging(spark)
+    rows = numbered(docs, stage)
+    groups = near_copies(by_row(rows, "text"), stage).select(F.col("doc_id").alias("row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(F.min(place).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    found = contained_items(docs, table(spark, sf_dir, "benchmark"))
-    hit = Staging(spark)(found.select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the rows whose text contains a benchmark item, whatever their id, and no other."""
+    stage = Staging(spark)
+    rows = numbered(docs, stage)
+    found = contained_items(by_row(rows, "text"), table(spark, sf_dir, "benchmark"))
+    hit = stage(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return rows.join(hit, "row", "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a filler; all documents stay."""
+    """Replaces every secret by a filler, in rows with and without an id; all documents stay."""
     stage = Staging(spark)
     clean = redact(docs, stage(scan_secrets(docs, stage), "findings"), COLUMNS)
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled SentencePiece ids of every document."""
+    """Sampled SentencePiece ids of every row; rows without an id keep null there, a null text has no pieces."""
     return encode_samples(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -21,7 +21,6 @@ it in order: the audit is one string, and the text streams through one task.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -437,16 +436,20 @@ def repair(rows: DataFrame, stage: Staging, run: int = RUN) -> tuple[DataFrame,
     cut = order.select((F.floor(F.col("at") / run)).cast("bigint").alias("run"), "at", "conv_id", "turn", "initial", "fault")
     segments = stage(cut.groupBy("run").applyInArrow(_segments, SEGMENT), "segments0")
 
+    # Most conversations are one segment; the others go up and down the groups.
+    many = segments.groupBy("conv_id").count().where("count > 1").select(F.col("conv_id").alias("many_id"))
+    among = F.col("conv_id").eqNullSafe(F.col("many_id"))
+    single, names = segments.join(many, among, "left_anti"), _arrow(_SUM).names
+
     # Up: sum up groups of segments until each conversation has one left.
-    levels, width = [segments], run
-    names = _arrow(_SUM).names
+    levels, width = [stage(segments.join(many, among, "left_semi"), "parts")], run
     while levels[-1].count() > levels[-1].select("conv_id").distinct().count():
         width *= run
         now = levels[-1].select(*names, "ways", F.floor(F.col("at") / width).cast("bigint").alias("group"))
         levels.append(stage(now.groupBy("conv_id", "group").applyInArrow(_folded, f"{_SUM}, ways {_WAY}"), f"segments{len(levels)}"))
         if width > 1 << 62:
             break
-    whole = levels[-1]
+    whole = single.select(*names, "ways").unionByName(levels[-1].select(*names, "ways"))
     ends = stage(whole.select("at", "ways").mapInArrow(_ends, _END), "ends")
 
     # Down: from the ends of a group to the ends of the segments in it.
@@ -461,6 +464,9 @@ def repair(rows: DataFrame, stage: Staging, run: int = RUN) -> tuple[DataFrame,
         ways = met.groupBy("conv_id", "group").applyInArrow(_unfolded, "of bigint, way_here bigint, way_there bigint")
         ways = stage(ways.toDF("of", "here", "there"), f"ways{depth}")
 
+    if len(levels) > 1:
+        ways = ways.unionByName(single.select(F.col("at").alias("of")).join(ends.select("of", "here", "there"), "of"))
+
     # The last segment of a conversation takes the inserts at its end.
     last = segments.groupBy("conv_id").agg(F.max("at").alias("last_at")).withColumnRenamed("conv_id", "last_id")
     tops = whole.select("conv_id", F.col("at").alias("of")).join(ends.select("of", "inserts"), "of")

@@ -172,8 +172,8 @@ def contained_items(
     An item counts if one window of the document has at least ``containment`` of
     its distinct shingles, of ``shingle`` words in lower case; the best window is
     reported. An item with fewer words is one shingle of its own length; one
-    without words, or with a null id or text, is in no document. All rows of one
-    item_id but the longest text are ignored. Repeated rows of ``docs`` each get
+    without words, or with a null id or text, is in no document. Of several texts
+    with one item_id the best contained one is reported. Repeated rows of ``docs`` each get
     their rows, a null doc_id comes back as null. Empty tables give no rows. Other
     columns are ignored.
 
@@ -183,15 +183,15 @@ def contained_items(
     of an item is missed with a probability under 1e-6.
     """
     spark: SparkSession = docs.sparkSession
-    known = items.where("item_id is not null and text is not null").select("item_id", "text")
+    known = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     blocks = max(1, -(-known.count() * 5 // (4 * items_per_block)))
     known = known.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     kind = dict(items.dtypes)["item_id"]
     result = None
     for block in range(blocks):
         rows = known.where(F.col("block") == block).orderBy(F.length("text"), "text").collect()
-        texts = {r["item_id"]: _words(r["text"]) for r in rows}
-        sent = spark.sparkContext.broadcast(list(texts.items()))
+        # Several texts may have one item_id; each is looked for.
+        sent = spark.sparkContext.broadcast([((r["item_id"], k), _words(r["text"])) for k, r in enumerate(rows)])
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = ItemIndex(sent.value, shingle, permutations)
@@ -203,8 +203,11 @@ def contained_items(
                     run.append(text)
                     size += len(text) if isinstance(text, str) else 0
                     if size > 6 * RUN_WORDS or k == len(texts) - 1:
-                        for at, item, total, shared in index.search(run, shingle, containment):
-                            rows.append((ids[base + at], item, total, shared, shared / total))
+                        best: dict[tuple[int, object], tuple[float, int, int]] = {}
+                        for at, (item, _), total, shared in index.search(run, shingle, containment):
+                            best[at, item] = max(best.get((at, item), (0.0, 0, 0)), (shared / total, total, shared))
+                        for (at, item), (part, total, shared) in best.items():
+                            rows.append((ids[base + at], item, total, shared, part))
                         base, run, size = k + 1, [], 0
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_shingles", "n_shared", "containment"]).astype({"doc_id": "Int64"})
 

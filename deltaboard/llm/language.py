@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ LANGUAGES = 200
 LONGEST_GRAM = 5
 SMOOTHING = 0.5
 KNOWN = 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of the few numerals (as in m² or Ⅷ) that the standard library counts as word characters.
+NEARLY_LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,7 +105,8 @@ class Predictor:
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if isinstance(text, str) else []
+        runs = NEARLY_LETTERS.findall(text.lower()) if isinstance(text, str) else []
+        words = runs if "".join(runs).isalpha() else [w for run in runs for w in LETTERS.findall(run)]
         if not words or not self.model.languages:
             return "und", 0.0
         if len(self.place) > KNOWN:

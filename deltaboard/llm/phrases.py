@@ -29,7 +29,7 @@ from deltaboard.session import Staging
 LONGEST, LEAST, TOP = 4, 30, 2000
 SCALE = 2_000_000
 #: Words after which a chunk of documents is closed; a document is never cut.
-CHUNK = 300_000
+CHUNK = 500_000
 #: Up to this many bytes, as counted, the frequent phrases of a length are broadcast; beyond, both sides shuffle.
 BROADCAST_BYTES = 32 << 20
 #: A phrase inside a longer one with this percentage of its count is dropped.
@@ -172,7 +172,7 @@ def phrase_counts(
     texts = docs.select(
         F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     )
-    relation = stage(texts.mapInArrow(lambda rows: _first(rows, chunk), FIRST), "occurrences1")
+    relation = stage(texts.mapInArrow(lambda rows: _first(rows, chunk), FIRST), "occurrences1", compression="zstd")
     spread = _as_local(relation, ["words"])
     counted = stage(spread.groupBy("lang", "words").agg(F.sum("c").alias("f")), "words")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -189,7 +189,9 @@ def phrase_counts(
         grown = (
             relation.select("chunk", "items").groupBy("chunk").cogroup(kept.groupBy("owner")).applyInArrow(_extended, NEXT)
         )
-        relation, keys = stage(grown, f"occurrences{length + 1}"), ["a", "b"]
+        relation, keys = stage(grown, f"occurrences{length + 1}", compression="zstd"), ["a", "b"]
+        # The counts and the longer occurrences are written, so nothing goes back to the shorter ones.
+        stage.drop(f"occurrences{length}")
         spread = _as_local(relation, keys)
     return totals, tables
 

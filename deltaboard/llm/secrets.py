@@ -156,8 +156,8 @@ def find_candidates(docs: DataFrame, words: DataFrame, path: str = "source") ->
 
     return (
         docs.where("text is not null")
-        .select("doc_id", F.hash("text").alias("mark"), F.coalesce(F.col(path), F.lit("")).alias("path"), "text")
-        .mapInPandas(find, "doc_id long, mark int, start int, end int, kind string, digest string, values array<double>")
+        .select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("mark"), F.coalesce(F.col(path), F.lit("")).alias("path"), "text")
+        .mapInPandas(find, "doc_id long, mark string, start int, end int, kind string, digest string, values array<double>")
     )
 
 
@@ -202,8 +202,8 @@ def scan_secrets(
     """``doc_id, mark, start, end, kind, digest, score``: the findings in ``docs(doc_id, text, <path>)``.
 
     ``start`` and ``end`` are code points of the text, ``digest`` is the SHA-256 of
-    the value; the value itself is not returned. ``mark`` is a hash of the text and
-    tells rows with one doc_id apart. The dictionary and the letter transitions come
+    the value; the value itself is not returned. ``mark`` is the SHA-256 of the text
+    and tells rows with one doc_id apart. The dictionary and the letter transitions come
     from all documents. The forest is trained on ``labelled(values, label)``, or by
     default on findings that ``rule_labels`` is sure of. Without both labels the
     candidates behind a credential's name or in a published format are returned with
@@ -227,9 +227,14 @@ def scan_secrets(
 
 
 def redact(docs: DataFrame, findings: DataFrame, columns: list[str], filler: str = "[secret]") -> DataFrame:
-    """``columns`` of ``docs`` with every finding in ``text`` replaced; rows without findings are as they were."""
+    """``columns`` of ``docs`` with every finding in ``text`` replaced; rows without findings are as they were.
+
+    Rows meet their findings by doc_id, null or not, and text, so rows that share
+    an id each lose their own secrets and nothing else. Repeated rows stay repeated.
+    """
     spans = findings.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    marked = docs.select(*columns).withColumn("mark", F.hash("text"))
+    spans = spans.withColumnsRenamed({"doc_id": "_of", "mark": "_mark"})
+    marked = docs.select(*columns).withColumn("mark", F.sha2(F.col("text").cast("binary"), 256))
     pieces = F.transform(
         "spans",
         lambda s, i: F.concat(
@@ -239,4 +244,5 @@ def redact(docs: DataFrame, findings: DataFrame, columns: list[str], filler: str
     )
     rest = F.substring("text", F.get("spans", F.size("spans") - 1)["end"] + 1, F.length("text"))
     clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return marked.join(spans, ["doc_id", "mark"], "left").withColumn("text", clean).select(*columns)
+    same = (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_of"))
+    return marked.join(spans, same, "left").withColumn("text", clean).select(*columns)

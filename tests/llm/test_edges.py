@@ -86,3 +86,67 @@ def test_stages(spark, odd_docs, stage, k, tmp_path):
     if k in (2, 3):
         assert got.count() == docs.count()
     assert stages[k][1](spark, docs.limit(0), f"{tmp_path}/sf").count() == 0
+
+
+def test_every_text_of_an_item_is_looked_for(spark):
+    words = [f"w{i}" for i in range(40)]
+    short, long_ = " ".join(words[:12]), " ".join(words[20:40])
+    docs = spark.createDataFrame([(1, f"before {short} after"), (2, f"x {long_} y"), (3, "nothing here at all"), (4, "ab ab ab")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, short, 1), (7, long_, 2), (7, long_, 2), (8, "ab", 3)], "item_id long, text string, doc_id long")
+    got = sorted((r["doc_id"], r["item_id"]) for r in contained_items(docs, items).collect())
+    assert got == [(1, 7), (2, 7), (4, 8)]
+
+
+STAGE_ROWS = "doc_id long, text string, lang string, source string, n_chars long, row long, label int"
+SECRET = "password = 'Zx81qP0sVt93LmQ7'"
+
+
+@pytest.fixture
+def stage_docs(spark, tmp_path):
+    """Rows without an id, rows that share one, equal rows, secrets and benchmark text in each of them."""
+    prose = [" ".join(f"{w}{i}" for w in "alpha beta gamma delta epsilon zeta eta theta".split() for i in range(k, k + 4)) for k in range(0, 60, 5)]
+    item = " ".join(f"question{i}" for i in range(30))
+    rows = [
+        (None, f"{prose[0]} {SECRET} end"), (None, f"{prose[1]} {SECRET} end"), (1, f"{prose[2]} {SECRET}"), (1, prose[3]),
+        (2, f"{prose[4]} {item} {prose[5]}"), (2, prose[6]), (None, f"{item} {prose[7]}"), (None, prose[8]), (3, prose[9]), (3, prose[9]),
+        (None, prose[10]), (None, prose[10]), (4, None), (None, None), (5, ""),
+    ]
+    folder = str(tmp_path / "tables")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame([(*r, "en", "h", 1, 9, 0) for r in rows], STAGE_ROWS)
+    return docs, folder, prose, item
+
+
+def test_stages_go_by_row(spark, stage_docs):
+    """Nothing is lost by an id that another row has, and nothing stays for want of one."""
+    docs, folder, prose, item = stage_docs
+    texts = lambda df: sorted(r["text"] or "" for r in df.collect())
+
+    one_each = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert one_each.columns == corpus_pipeline.COLUMNS
+    assert texts(one_each) == sorted({r["text"] or "" for r in docs.collect()})
+
+    clean = corpus_pipeline.decontamination(spark, docs, folder)
+    assert clean.columns == corpus_pipeline.COLUMNS
+    assert texts(clean) == sorted((r["text"] or "") for r in docs.collect() if item not in (r["text"] or ""))
+
+    hidden = corpus_pipeline.secrets(spark, docs, folder)
+    assert hidden.columns == corpus_pipeline.COLUMNS and hidden.count() == docs.count()
+    assert not any("Zx81qP0sVt93LmQ7" in t for t in texts(hidden))
+    assert sum("[secret]" in t for t in texts(hidden)) == 3
+    plain = {r["text"] for r in docs.collect() if r["text"] and SECRET not in r["text"]}
+    assert plain <= set(texts(hidden))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables(spark, stage_docs, name):
+    docs, folder, *_ = stage_docs
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), folder).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    learned = [(k, t, lang, "s") for k in range(0, 40, 2) for t, lang in (("the house of the river", "en"), ("das haus am fluss", "de"))]
+    docs = spark.createDataFrame(learned, "doc_id long, text string, lang string, source string")
+    odd = spark.createDataFrame([(1, "² ½ ① Ⅷ"), (2, "12 _ ³"), (3, "haus² das"), (4, "das haus")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict_language(odd, word_counts(docs)).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3] == got[4] and got[3][0] == "de"
