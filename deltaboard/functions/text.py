@@ -45,10 +45,6 @@ def capitalise_first(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
 
 
-def fold_case(c: Column) -> Column:
-    return F.lower(c)
-
-
 def clean_destination(c: Column) -> Column:
     for noise in DESTINATION_NOISE:
         c = F.replace(c, F.lit(noise), F.lit(""))

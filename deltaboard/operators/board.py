@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltaboard.functions.text import (
@@ -17,6 +18,7 @@ from deltaboard.functions.timing import iso_instant
 from deltaboard.operators.countdown import KEYS, UNKNOWN_DESTINATION, next_departures
 from deltaboard.operators.filters import usable_board_rows
 from deltaboard.operators.ranking import first_k
+from deltaboard.session import Staging
 from deltaboard.settings import DEFAULTS, Settings
 
 DEFAULT_DIRECTION = "outbound"
@@ -25,33 +27,43 @@ DEFAULT_DIRECTION = "outbound"
 def agreed(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Value per key on which all rows agree; a key with a conflict has none.
 
-    Smallest equals largest says the same as one distinct value and combines
-    before the shuffle, so a hot key costs no more than any other.
+    The values are grouped by, so the rows combine in hash tables before the
+    shuffle, and a hot key is as many rows as it has values. A key that is left
+    with one row agrees.
     """
+    told = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
     return (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(F.min(value).alias(out), F.max(value).alias("_high"))
-        .where(F.col(out) == F.col("_high"))
-        .drop("_high")
+        told.withColumn("_values", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+        .where(F.col("_values") == 1)
+        .select(*keys, F.col(value).alias(out))
     )
 
 
-def learned_directions(arrivals: DataFrame, planned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Directions by destination and by assigned platform, learned from arrivals."""
-    taught = arrivals.where(~is_blank(F.col("direction"))).select(
-        *KEYS,
-        "dest_id",
-        F.coalesce(strip_blanks(F.col("platform")), F.lit("")).alias("raw_platform"),
-        F.lower(strip_blanks(F.col("direction"))).alias("_dir"),
+def learned_directions(
+    arrivals: DataFrame, planned: DataFrame | None = None, stage: Staging | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Directions by destination and by assigned platform, learned from arrivals in one pass."""
+    platform = F.coalesce(strip_blanks(F.col("platform")), F.lit(""))
+    told = F.filter(
+        F.array(
+            F.struct(F.lit("destination").alias("kind"), F.col("dest_id").alias("value")),
+            F.struct(F.lit("platform").alias("kind"), F.when(~is_unassigned_platform(platform), platform).alias("value")),
+        ),
+        lambda t: t["value"].isNotNull(),
     )
     if planned is not None:
-        taught = taught.join(planned.select(*KEYS).distinct(), KEYS, "left_semi")
-    by_destination = agreed(taught.where(F.col("dest_id").isNotNull()), [*KEYS, "dest_id"], "_dir", "dest_dir")
-    by_platform = agreed(
-        taught.where(~is_unassigned_platform(F.col("raw_platform"))), [*KEYS, "raw_platform"], "_dir", "platform_dir"
+        arrivals = arrivals.join(planned.select(*KEYS).distinct(), KEYS, "left_semi")
+    taught = arrivals.where(~is_blank(F.col("direction"))).select(
+        *KEYS, F.lower(strip_blanks(F.col("direction"))).alias("_dir"), F.explode(told).alias("_t")
     )
-    return by_destination, by_platform
+    learned = agreed(taught.select(*KEYS, "_t.kind", "_t.value", "_dir"), [*KEYS, "kind", "value"], "_dir", "dir")
+    if stage is not None:
+        learned = stage(learned, "learned")
+
+    def of(kind: str, value: str, out: str) -> DataFrame:
+        return learned.where(F.col("kind") == kind).select(*KEYS, F.col("value").alias(value), F.col("dir").alias(out))
+
+    return of("destination", "dest_id", "dest_dir"), of("platform", "raw_platform", "platform_dir")
 
 
 def board_rows(board: DataFrame, now: Column, settings: Settings = DEFAULTS) -> DataFrame:
@@ -79,9 +91,10 @@ def board_rows(board: DataFrame, now: Column, settings: Settings = DEFAULTS) ->
 
 
 def resolve_directions(
-    rows: DataFrame, by_destination: DataFrame, by_platform: DataFrame, departing: DataFrame | None
+    rows: DataFrame, by_destination: DataFrame, by_platform: DataFrame, departing: DataFrame | None,
+    stage: Staging | None = None,
 ) -> DataFrame:
-    """Four passes; each only fills what the ones before left open.
+    """Four passes; each only fills what the ones before left open. ``stage`` keeps the first, which the others share.
 
     1 destination, platform text, learned platform; 2 directions already found
     on the same assigned platform; 3 the line's only direction; 4 the terminus'
@@ -101,6 +114,8 @@ def resolve_directions(
         )
         .drop("dest_dir", "platform_dir")
     )
+    if stage is not None:
+        first = stage(first, "directed")
     by_shared = agreed(first.where(real_platform), [*KEYS, "raw_platform"], "_d1", "shared_dir")
     second = first.join(by_shared, [*KEYS, "raw_platform"], "left").withColumn(
         "_d2", F.coalesce("_d1", "shared_dir")

@@ -142,59 +142,108 @@ def _flagged(steps: Column, first_changed: Column) -> Column:
     return F.transform(steps, flag)
 
 
-def _chain(blocks: DataFrame, keys: list[str], every: int, size: int) -> DataFrame:
-    """Per key: ``links`` with each block's true start, the last row and emission.
+def _entry_age(last: Column, link: Column, changed: Column, every: int, size: int) -> Column:
+    """Age of the last emission at a link's start; a change emits at once, as every age from ``every`` up does."""
+    return F.when(changed, every).otherwise(F.least(link["block"] * size - last, F.lit(every))).cast("int")
 
-    How a block goes on depends on the age of the last emission at its start
-    only, and all ages from ``every`` up act alike: they emit at once, as a change
-    does. So a block is summed up as ``every`` possible ends plus its first and
-    last row, and the ends are chained over the blocks of a key.
-    """
-    rule = _step_rule(every)
-    ages = F.array(*[F.col(BLOCK) * size - age for age in range(1, every + 1)])
-    ends = F.aggregate(
-        _flagged(F.col("_steps"), F.lit(False)),
-        ages,
-        lambda lasts, s: F.transform(lasts, lambda last: rule(last, s["tick"], s["changed"], s["start"])),
-    )
-    summary = blocks.select(
-        *keys,
-        F.struct(
-            F.col(BLOCK).alias("block"),
-            F.element_at("_steps", 1).alias("first"),
-            F.element_at("_steps", -1).alias("last"),
-            ends.alias("ends"),
-        ).alias("_link"),
-    )
-    links = summary.groupBy(*keys).agg(F.array_sort(F.collect_list("_link")).alias("_links"))
+
+def _linked(links: Column) -> Column:
+    """Links with ``changed`` and ``next_tick`` from their neighbours; the ends get theirs from outside."""
 
     def mark(b: Column, i: Column) -> Column:
-        first, prev = b["first"], F.get(F.col("_links"), i - 1)["last"]
+        first, prev = b["first"], F.get(links, i - 1)["last"]
         return F.struct(
             b["block"].alias("block"),
             b["ends"].alias("ends"),
-            _differs(prev, first["tick"], first["digest"], first["start"]).alias("changed"),
-            F.get(F.col("_links"), i + 1)["first"]["tick"].alias("next_tick"),
+            ((i > 0) & _differs(prev, first["tick"], first["digest"], first["start"])).alias("changed"),
+            F.get(links, i + 1)["first"]["tick"].alias("next_tick"),
         )
 
+    return F.transform(links, mark)
+
+
+def _walked(marks: Column, before: Column, changed: Column, next_tick: Column, every: int, size: int) -> Column:
+    """Last emission after the links, and for each link what it starts with."""
     kind = "array<struct<block:bigint,entry:bigint,changed:boolean,next_tick:bigint>>"
-    origin = F.struct(F.lit(-(2**62)).cast("bigint").alias("last"), F.array().cast(kind).alias("links"))
+    origin = F.struct(before.cast("bigint").alias("last"), F.array().cast(kind).alias("links"))
 
-    def link(state: Column, b: Column) -> Column:
-        age = F.when(b["changed"], every).otherwise(F.least(b["block"] * size - state["last"], F.lit(every)))
+    def step(state: Column, b: Column) -> Column:
+        first = F.size(state["links"]) == 0
+        now = F.when(first, changed).otherwise(b["changed"])
         entry = F.struct(
-            b["block"].alias("block"), state["last"].alias("entry"), b["changed"].alias("changed"),
-            b["next_tick"].alias("next_tick"),
-        )
-        return F.struct(
-            F.element_at(b["ends"], age.cast("int")).alias("last"), F.array_append(state["links"], entry).alias("links")
+            b["block"].alias("block"), state["last"].alias("entry"), now.alias("changed"),
+            F.coalesce(b["next_tick"], next_tick).alias("next_tick"),
         )
+        age = _entry_age(state["last"], b, now, every, size)
+        return F.struct(F.element_at(b["ends"], age).alias("last"), F.array_append(state["links"], entry).alias("links"))
+
+    return F.aggregate(marks, origin, step)
+
+
+def _chain(blocks: DataFrame, keys: list[str], every: int, size: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """What each block starts with, and per key the last row and emission.
 
-    return links.select(
+    How a block goes on depends on the age of the last emission at its start
+    only, and all ages from ``every`` up act alike: they emit at once, as a change
+    does. So a block is a map from ages to ends, plus its first and last row, and
+    such maps compose: ``group`` blocks in a row are summed up in the same form.
+    The groups of a key are chained, then the blocks of each group, so no list is
+    longer than ``group`` blocks or the groups of a key.
+    """
+    rule = _step_rule(every)
+    ages = F.array(*[F.col(BLOCK) * size - age for age in range(1, every + 1)])
+    ends = F.aggregate(
+        _flagged(F.col("_steps"), F.lit(False)),
+        ages,
+        lambda lasts, s: F.transform(lasts, lambda last: rule(last, s["tick"], s["changed"], s["start"])),
+    )
+    parts = ["block", "first", "last", "ends"]
+    single = blocks.select(
+        *keys,
+        F.col(BLOCK).alias("block"),
+        F.element_at("_steps", 1).alias("first"),
+        F.element_at("_steps", -1).alias("last"),
+        ends.alias("ends"),
+    )
+    gathered = F.array_sort(F.collect_list(F.struct(*parts)))
+    groups = (
+        single.groupBy(*keys, F.floor(F.col("block") / group).alias("_group"))
+        .agg(gathered.alias("_links"))
+        .withColumn("_marks", _linked(F.col("_links")))
+    )
+    head = F.element_at("_links", 1)
+    entry_ages = F.array(*[head["block"] * size - age for age in range(1, every + 1)])
+    composed = F.aggregate(
+        "_marks",
+        entry_ages,
+        lambda lasts, b: F.transform(
+            lasts, lambda last: F.element_at(b["ends"], _entry_age(last, b, b["changed"], every, size))
+        ),
+    )
+    summary = groups.select(
+        *keys, head["block"].alias("block"), head["first"].alias("first"), F.element_at("_links", -1)["last"].alias("last"),
+        composed.alias("ends"),
+    )
+    chained = summary.groupBy(*keys).agg(gathered.alias("_links"))
+    long_ago, never = F.lit(-(2**62)), F.lit(None).cast("bigint")
+    outer = chained.select(
         *keys,
         F.element_at("_links", -1)["last"].alias("_newest"),
-        F.aggregate(F.transform("_links", mark), origin, link).alias("_walked"),
+        # The first row of a key has nothing before it: it changes, unless it is the state.
+        _walked(_linked(F.col("_links")), long_ago, F.element_at("_links", 1)["first"]["start"].isNull(), never, every, size).alias("_walked"),
+    )
+    # explode_outer: there is always a link, and explode would walk twice to check.
+    starts = outer.select(*keys, F.explode_outer("_walked.links").alias("_start")).select(
+        *keys, F.col("_start.block").alias("_head"), "_start.entry", "_start.changed", "_start.next_tick"
     )
+    inner = groups.select(*keys, head["block"].alias("_head"), "_marks").join(starts, [*keys, "_head"])
+    entries = inner.select(
+        *keys,
+        F.explode_outer(
+            _walked(F.col("_marks"), F.col("entry"), F.col("changed"), F.col("next_tick"), every, size)["links"]
+        ).alias("_link"),
+    ).select(*keys, F.col("_link.block").alias(BLOCK), "_link.entry", "_link.changed", "_link.next_tick")
+    return outer, entries
 
 
 def replay(
@@ -215,8 +264,9 @@ def replay(
     Emissions: mode, station_key, cycle, reason, digest (null for a wipe). The
     state holds the keys that are not wiped by the last poll.
 
-    A key's history is walked in blocks of ``settings.block_cycles`` cycles, so
-    no task holds more than one block of a key, plus one small row per block.
+    A key's history is walked in blocks of ``settings.block_cycles`` cycles and
+    groups of ``settings.group_blocks`` blocks, so no task holds more than one
+    block of a key, one small row per block of a group, and one per group.
     """
     keys = list(keys)
     size, every = settings.block_cycles, settings.heartbeat_cycles
@@ -238,11 +288,7 @@ def replay(
         .groupBy(*keys, BLOCK)
         .agg(F.array_sort(F.collect_list(step)).alias("_steps"))
     )
-    chain = _chain(blocks, keys, every, size)
-    # explode_outer: there is always a link, and explode would walk twice to check.
-    entries = chain.select(*keys, F.explode_outer("_walked.links").alias("_link")).select(
-        *keys, F.col("_link.block").alias(BLOCK), "_link.entry", "_link.changed", "_link.next_tick"
-    )
+    chain, entries = _chain(blocks, keys, every, size, settings.group_blocks)
 
     rule = _step_rule(every)
     flagged = _flagged(F.col("_steps"), F.col("changed"))

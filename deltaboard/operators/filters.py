@@ -31,10 +31,14 @@ def subscribed_ids(live: DataFrame | None, mirror: DataFrame) -> DataFrame:
     """The live document's active ids if it has counts at all, else the mirror.
 
     Counts without any above zero are an empty set, not a reason to fall back.
+    Nothing runs until the result is asked for: the mirror meets one flag.
     """
-    if live is not None and not live.where(F.col("stationCounts").isNotNull()).isEmpty():
-        return active_stations(live)
-    return mirror.select("naptan_id")
+    if live is None:
+        return mirror.select("naptan_id")
+    counted = live.where(F.col("stationCounts").isNotNull())
+    flag = counted.agg((F.count(F.lit(1)) == 0).alias("_missing"))
+    fallback = mirror.select("naptan_id").join(F.broadcast(flag.where("_missing")))
+    return active_stations(counted).unionByName(fallback.select("naptan_id"))
 
 
 def subscribed_only(rows: DataFrame, subscribed: DataFrame | None, key: str = "naptan_id") -> DataFrame:

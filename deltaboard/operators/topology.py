@@ -14,6 +14,7 @@ from deltaboard.functions.lookups import BOARD_MODES, BUS_STOP_TYPE, expected_st
 from deltaboard.functions.text import is_blank
 from deltaboard.operators.filters import where_contains, where_except
 from deltaboard.operators.ranking import budgeted_pick, rotated
+from deltaboard.session import Staging
 from deltaboard.settings import DEFAULTS, Settings
 
 SCALARS = [
@@ -41,7 +42,7 @@ def direction_rows(directions: DataFrame) -> DataFrame:
     )
 
 
-def departing_directions(rows: DataFrame) -> DataFrame:
+def departing_directions(rows: DataFrame, stage: Staging | None = None) -> DataFrame:
     """Way out of each terminus: the one direction of its line that does not go there.
 
     Directions of a line are numbered from 1. A terminus that is missing from
@@ -49,6 +50,8 @@ def departing_directions(rows: DataFrame) -> DataFrame:
     its own sum. So sums and counts are enough and no set is collected.
     """
     pairs = rows.select(F.lower("line_id").alias("line_id"), F.lower("direction").alias("direction"), "dest_id")
+    if stage is not None:
+        pairs = stage(pairs.distinct(), "route_ends")
     per_line = W.partitionBy("line_id")
     numbers = (
         pairs.select("line_id", "direction")
@@ -212,24 +215,24 @@ def fresh_stations(
     ).select(*schemas.STATION.names)
 
 
+def content_digest() -> Column:
+    """Digest of what counts as a change of a station: scalars, search keys and modes in canonical order."""
+    parts = [F.array_sort("search_keys").alias("search_keys"), F.array_sort("modes").alias("modes")]
+    return F.sha2(F.to_json(F.struct(*SCALARS, *parts), {"ignoreNullFields": "false"}), 256)
+
+
 def changed_stations(fresh: DataFrame, existing: DataFrame) -> DataFrame:
     """Fresh stations that are new or differ; geohash and time stamp do not count.
 
     ``change`` is 'new' or 'changed'. List order of the nested parts is not a
-    difference: both sides are sorted.
+    difference. The sides meet as digests; a stored table may bring its own as
+    ``content_digest``, so that its nested columns are not read.
     """
-
-    def compared(search: Column, modes: Column) -> list[Column]:
-        return [F.array_sort(search).alias("search_keys"), F.array_sort(modes).alias("modes")]
-
-    old = existing.select(
-        F.col("naptan_id"),
-        F.struct(*SCALARS, *compared(F.col("search_keys"), F.col("modes"))).alias("_old"),
-    )
-    new = fresh.withColumn("_new", F.struct(*SCALARS, *compared(F.col("search_keys"), F.col("modes"))))
-    paired = new.join(old, "naptan_id", "left")
+    known = F.col("content_digest") if "content_digest" in existing.columns else content_digest()
+    old = existing.select("naptan_id", known.alias("_old"))
+    paired = fresh.withColumn("_new", content_digest()).join(old, "naptan_id", "left")
     return (
         paired.withColumn("change", F.when(F.col("_old").isNull(), "new").otherwise("changed"))
-        .where(F.col("_old").isNull() | ~F.col("_old").eqNullSafe(F.col("_new")))
+        .where(F.col("_old").isNull() | (F.col("_old") != F.col("_new")))
         .drop("_old", "_new")
     )

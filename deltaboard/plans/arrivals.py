@@ -29,10 +29,14 @@ def station_documents(
     planned: DataFrame | None = None,
     departing: DataFrame | None = None,
     summary: DataFrame | None = None,
+    stage: Staging | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Documents per mode, cycle and station from filtered arrivals and boards.
 
+    With ``stage``, each feed is read once: the usable board rows, what the
+    arrivals teach and the first pass of the directions are written tables.
+
     ``now`` is one instant, or None to use each snapshot's own fetch time. All
     rows of a mode and cycle then have to carry the same one.
     """
@@ -45,9 +49,11 @@ def station_documents(
         boards = filters.publish_board_aliases(boards)
         asked = boards.join(planned.select(*countdown.KEYS, "line_id"), [*countdown.KEYS, "line_id"], "left_semi")
         usable = board.board_rows(asked, row_now, settings)
+        if stage is not None:
+            usable = stage(usable, "usable")
         at_boards = arrivals.join(planned.select(*countdown.KEYS).distinct(), countdown.KEYS, "left_semi")
-        by_destination, by_platform = board.learned_directions(at_boards)
-        directed = board.resolve_directions(usable, by_destination, by_platform, departing)
+        by_destination, by_platform = board.learned_directions(at_boards, stage=stage)
+        directed = board.resolve_directions(usable, by_destination, by_platform, departing, stage)
         covered = usable.select(*countdown.KEYS, "line_id").distinct()
         rest = board.uncovered_arrivals(arrivals, covered)
         items = board.board_items(directed, settings).unionByName(
@@ -110,11 +116,15 @@ def run_cycles(
     """
     stage = stage or Staging(arrivals.sparkSession)
     kept = filtered_arrivals(arrivals, subscribed)
+    if boards is not None:
+        # Both paths and the names read them.
+        kept = stage(kept, "arrivals")
     summary = stage(assemble.feed_summary(kept), "summary")
     polls = changes.polls_of_summary(summary, polled)
     docs = stage(
         station_documents(
-            kept, now=now, boards=boards, planned=planned, departing=departing, summary=summary, settings=settings
+            kept, now=now, boards=boards, planned=planned, departing=departing, summary=summary, stage=stage,
+            settings=settings,
         ),
         "documents",
     )

@@ -7,9 +7,49 @@ carried values.
 
 from __future__ import annotations
 
-from deltaboard.functions.lookups import CODES_BY_PRIORITY, GOOD_SERVICE_MESSAGES, STOP_TYPE_BY_MODE
+# Of the queries only their own set-up is shared; what the engine knows is written out.
 from deltaboard.plans.queries import ALIASES, CYCLE_SECONDS, MODES, NOW, PLATFORMS, STAMP_FORMS
 
+# Stop type that a mode's stations must have.
+STOP_TYPE_BY_MODE = {
+    "bus": "NaptanPublicBusCoachTram",
+    "tube": "NaptanMetroStation",
+    "underground": "NaptanMetroStation",
+    "overground": "NaptanRailStation",
+    "elizabeth-line": "NaptanRailStation",
+    "dlr": "NaptanMetroStation",
+    "national-rail": "NaptanRailStation",
+    "tram": "NaptanPublicBusCoachTram",
+    "river-bus": "NaptanFerryPort",
+    "cable-car": "NaptanCableCarStation",
+}
+# Display priority of a severity code; codes not listed have 0.
+CODES_BY_PRIORITY = {
+    9: [1, 2, 16, 20],
+    8: [4],
+    7: [3, 5, 11],
+    6: [6],
+    5: [7, 8, 15],
+    4: [9, 14, 17],
+    2: [12, 13, 19],
+    1: [0],
+}
+# Messages shown for a good service that comes without a reason.
+GOOD_SERVICE_MESSAGES = [
+    "Please mind the gap between the train and the platform. Mind the gap.",
+    "Please stand behind the yellow line and stay back from the platform edge.",
+    "See it, say it, sorted. Text the British Transport Police on 61016.",
+    "Please hold the handrail on the escalators and always stand on the right.",
+    "Please move down inside the carriages and use all available space.",
+    "Please offer your seat to those who may need it more than you. Thank you.",
+    "Please keep all personal belongings with you at all times. Thank you.",
+    "Check before you travel. Plan your journey at tfl.gov.uk or on the TfL Go app.",
+    "Please have your tickets or contactless cards ready before the barriers.",
+    "Follow the signs for a way out and keep to the left when on the stairs.",
+    "For a more comfortable journey, please carry a bottle of water with you.",
+    "Please keep the doorways clear to allow other customers to board the train.",
+]
+
 NOW_TS = f"TIMESTAMP '{NOW}'"
 BUS = "NaptanPublicBusCoachTram"
 
@@ -107,6 +147,8 @@ BRD = f"""brd AS (SELECT mode, cycle, feed_seq, naptan_id, event_type AS line_id
   CASE WHEN k % 5 <> 0 THEN date_trunc('hour', eta) END AS estimated,
   CASE WHEN k % 10 <> 0 THEN date_trunc('hour', eta) END AS scheduled FROM arr WHERE k >= 50)"""
 
+WHOLE_BRD = BRD.replace(" WHERE k >= 50", "")
+
 HALF = "half AS (SELECT * FROM arr WHERE k < 50)"
 
 PLAN = f"""plan AS (SELECT DISTINCT {pick("user_id % 5", MODES)} AS mode, {station("user_id")} AS naptan_id,
@@ -300,8 +342,8 @@ STOPS = f"""stops AS (SELECT {pick("l_suppkey % 5", MODES)} AS mode, 's' || lpad
     FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey),
   fit AS (SELECT * FROM stops WHERE stop_type = {stop_type("mode")}),
   routes AS (SELECT DISTINCT 's' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS line_id,
-    CASE WHEN l_returnflag = 'A' THEN 'inbound' ELSE 'outbound' END AS direction, 'p' || l_partkey AS naptan_id
-    FROM lineitem WHERE l_returnflag <> 'N')"""
+    CASE l_returnflag WHEN 'A' THEN 'inbound' WHEN 'R' THEN 'outbound' ELSE 'loop' END AS direction, 'p' || l_partkey AS naptan_id
+    FROM lineitem)"""
 
 
 def folded(source: str, tag: str) -> str:
@@ -330,7 +372,7 @@ DIFF = f"""{STOPS}, {folded("fit", "new")},
     WHERE o.naptan_id IS NULL OR n.common_name <> o.common_name OR n.compass_point <> o.compass_point
       OR (SELECT count(*) FROM ld_new x WHERE x.naptan_id = n.naptan_id) <> (SELECT count(*) FROM ld_old x WHERE x.naptan_id = n.naptan_id))"""
 
-CAND = f"""{STOPS}, wayrows AS (SELECT line_id, direction, naptan_id AS dest FROM routes WHERE CAST(substr(naptan_id, 2) AS BIGINT) % 10 = 0),
+CAND = f"""{STOPS}, wayrows AS (SELECT line_id, direction, naptan_id AS dest FROM routes),
   ways AS (SELECT t.line_id, t.dest AS naptan_id FROM (SELECT DISTINCT line_id, dest FROM wayrows) t
     JOIN (SELECT DISTINCT line_id, direction FROM wayrows) x ON x.line_id = t.line_id
     WHERE NOT EXISTS (SELECT 1 FROM wayrows p WHERE p.line_id = t.line_id AND p.dest = t.dest AND p.direction = x.direction)
@@ -418,12 +460,12 @@ def all_sql() -> dict[str, str]:
       UNION ALL SELECT {station("c_custkey")}, 'mirror' FROM customer"""
     sql["alias_remap"] = f"""WITH {ARR} SELECT feed_seq, {ALIAS_ID} AS naptan_id, {ALIAS_NAME} AS station_name FROM arr WHERE NOT ({ALIAS_DROP})"""
     source = "CASE " + " ".join(f"WHEN mode = {q(m)} AND naptan_id = {q(p)} THEN {q(s)}" for m, p, s, _ in ALIASES) + " ELSE naptan_id END"
-    sql["board_aliases"] = f"WITH {ARR}, {BRD} SELECT feed_seq, {ALIAS_ID} AS naptan_id, {source} AS source_id FROM brd WHERE NOT ({ALIAS_DROP})"
+    sql["board_aliases"] = f"WITH {ARR}, {WHOLE_BRD} SELECT feed_seq, {ALIAS_ID} AS naptan_id, {source} AS source_id FROM brd WHERE NOT ({ALIAS_DROP})"
     sql["terminus_relabel"] = f"WITH {ARR}, {DEP}, {relabelled('arr')} SELECT feed_seq, towards, dest_name, direction, dest_id FROM turned"
     sql["countdown_items"] = f"""WITH {ARR}, {DEP}, {citems("arr")} SELECT mode, naptan_id, line_id, direction, CAST(pos AS INTEGER) AS pos,
       dest_id, platform, eta_text, display FROM citems"""
-    sql["board_rows"] = f"""WITH {ARR}, {BRD}, {usable("brd")} SELECT naptan_id, line_id, feed_seq, {iso("eta")} AS eta, raw_platform, dest_id, platform, display FROM brows"""
-    sql["learned_directions"] = f"""WITH {ARR}, {HALF}, {learned("half")} SELECT naptan_id, 'destination' AS kind, dest_id AS value, d AS direction FROM ldest
+    sql["board_rows"] = f"""WITH {ARR}, {WHOLE_BRD}, {usable("brd")} SELECT naptan_id, line_id, feed_seq, {iso("eta")} AS eta, raw_platform, dest_id, platform, display FROM brows"""
+    sql["learned_directions"] = f"""WITH {ARR}, {learned("arr")} SELECT naptan_id, 'destination' AS kind, dest_id AS value, d AS direction FROM ldest
       UNION ALL SELECT naptan_id, 'platform', raw_platform, d FROM lplat"""
     sql["direction_resolution"] = f"""WITH {ARR}, {DEP}, {HALF}, {BRD}, {usable("brd")}, {learned("half")}, {RESOLVED}
       SELECT naptan_id, line_id, feed_seq, direction FROM dirs"""
@@ -533,7 +575,7 @@ def all_sql() -> dict[str, str]:
     sql["max_watermark"] = """SELECT CAST(max(epoch_ms(o_orderdate)) AS BIGINT) AS watermark, 'orders' AS source FROM orders
       UNION ALL SELECT CAST(0 AS BIGINT), 'empty'"""
     sql["epoch_ms_forms"] = f"WITH {STAMPS} SELECT o_orderkey, epoch_ms, prefix FROM stamps"
-    sql["newest_in_delta"] = f"""WITH {STAMPS} SELECT CAST(greatest(2000, max(epoch_ms)) AS BIGINT) AS newest_ms, 'old' AS checkpoint FROM stamps WHERE form <> 'ms'
+    sql["newest_in_delta"] = f"""WITH {STAMPS} SELECT CAST(greatest(2000, max(epoch_ms)) AS BIGINT) AS newest_ms, 'old' AS checkpoint FROM stamps
       UNION ALL SELECT CAST(9000000000000 AS BIGINT), 'newer'"""
     sql["checkpoint_advance"] = f"""WITH {STAMPS}, f AS (SELECT * FROM stamps WHERE stamp IS NOT NULL),
       a AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),

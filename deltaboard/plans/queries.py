@@ -93,7 +93,7 @@ def departing(spark: SparkSession, folder: str) -> DataFrame:
     """Ways out learned from the directed arrivals' lines and destinations."""
     rows = arrivals(spark, folder).where(~text.is_blank(F.col("direction")) & F.col("line_id").isNotNull())
     return topology.departing_directions(
-        rows.select("line_id", "direction", station(F.col("k")).alias("dest_id"))
+        rows.select("line_id", "direction", station(F.col("k")).alias("dest_id")), Staging(spark)
     )
 
 
@@ -102,10 +102,11 @@ def feed_half(spark: SparkSession, folder: str) -> DataFrame:
     return arrivals(spark, folder).where(F.col("k") < 50).drop("k", "event_type")
 
 
-def boards(spark: SparkSession, folder: str) -> DataFrame:
-    """The other half as board rows, timed up to ten days later than the event."""
+def boards(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """The other half as board rows, or with ``whole`` all events, timed up to ten days later than the event."""
     k = F.col("k")
-    return arrivals(spark, folder).where(k >= 50).select(
+    rows = arrivals(spark, folder)
+    return (rows if whole else rows.where(k >= 50)).select(
         "mode", "cycle", "feed_seq", "fetched_at", "naptan_id",
         F.col("event_type").alias("line_id"),
         F.when(k % 17 == 0, F.upper("event_type")).when(k % 19 == 0, "other").alias("entry_line_id"),
@@ -235,7 +236,7 @@ def alias_remap(spark, folder):
 
 
 def board_aliases(spark, folder):
-    rows = boards(spark, folder)
+    rows = boards(spark, folder, whole=True)
     source = filters.board_source_station(F.col("mode"), F.col("naptan_id"), ALIASES)
     return filters.publish_board_aliases(rows.withColumn("source_id", source), ALIASES).select(
         "feed_seq", "naptan_id", "source_id"
@@ -256,14 +257,14 @@ def countdown_items(spark, folder):
 
 
 def board_rows(spark, folder):
-    return board.board_rows(boards(spark, folder), timing.clock(NOW)).select(
+    return board.board_rows(boards(spark, folder, whole=True), timing.clock(NOW)).select(
         "naptan_id", "line_id", "feed_seq", timing.iso_instant(F.col("eta")).alias("eta"), "raw_platform", "dest_id",
         "platform", "display",
     )
 
 
 def learned_directions(spark, folder):
-    by_destination, by_platform = board.learned_directions(feed_half(spark, folder))
+    by_destination, by_platform = board.learned_directions(arrivals(spark, folder), stage=Staging(spark))
     return by_destination.select(
         "naptan_id", F.lit("destination").alias("kind"), F.col("dest_id").alias("value"), F.col("dest_dir").alias("direction")
     ).unionByName(
@@ -275,9 +276,10 @@ def learned_directions(spark, folder):
 
 
 def _directed(spark: SparkSession, folder: str) -> DataFrame:
-    by_destination, by_platform = board.learned_directions(feed_half(spark, folder))
+    stage = Staging(spark)
+    by_destination, by_platform = board.learned_directions(feed_half(spark, folder), stage=stage)
     rows = board.board_rows(boards(spark, folder), timing.clock(NOW))
-    return board.resolve_directions(rows, by_destination, by_platform, departing(spark, folder))
+    return board.resolve_directions(rows, by_destination, by_platform, departing(spark, folder), stage)
 
 
 def direction_resolution(spark, folder):
@@ -286,15 +288,14 @@ def direction_resolution(spark, folder):
 
 def line_fallback(spark, folder):
     """Items of both paths at all stations, with the path that served the line."""
-    now, feed = timing.clock(NOW), feed_half(spark, folder)
-    asked = boards(spark, folder).join(
-        planned(spark, folder).select(*countdown.KEYS, "line_id"), [*countdown.KEYS, "line_id"], "left_semi"
-    )
-    usable = board.board_rows(asked, now)
-    at_boards = feed.join(planned(spark, folder).select(*countdown.KEYS).distinct(), countdown.KEYS, "left_semi")
-    by_destination, by_platform = board.learned_directions(at_boards)
+    stage = Staging(spark)
+    now, feed, plan = timing.clock(NOW), stage(feed_half(spark, folder), "feed"), stage(planned(spark, folder), "planned")
+    asked = boards(spark, folder).join(plan.select(*countdown.KEYS, "line_id"), [*countdown.KEYS, "line_id"], "left_semi")
+    usable = stage(board.board_rows(asked, now), "usable")
+    at_boards = feed.join(plan.select(*countdown.KEYS).distinct(), countdown.KEYS, "left_semi")
+    by_destination, by_platform = board.learned_directions(at_boards, stage=stage)
     ways_out = departing(spark, folder)
-    served = board.board_items(board.resolve_directions(usable, by_destination, by_platform, ways_out))
+    served = board.board_items(board.resolve_directions(usable, by_destination, by_platform, ways_out, stage))
     rest = countdown.countdown_items(board.uncovered_arrivals(feed, usable), now, ways_out)
     both = served.withColumn("path", F.lit("board")).unionByName(rest.withColumn("path", F.lit("countdown")))
     return both.select("path", "naptan_id", "line_id", "direction", "pos", "dest_id", "platform", "eta_text", "display")
@@ -359,12 +360,14 @@ def station_payloads(spark, folder):
 
 def merged_documents(spark, folder):
     """Documents out of both feeds: boards where planned, countdown elsewhere."""
+    stage = Staging(spark)
     docs = arrivals_plan.station_documents(
-        feed_half(spark, folder),
+        stage(feed_half(spark, folder), "feed"),
         now=NOW,
         boards=boards(spark, folder),
-        planned=planned(spark, folder),
+        planned=stage(planned(spark, folder), "planned"),
         departing=departing(spark, folder),
+        stage=stage,
     )
     return assemble.document_rows(docs).select(
         "mode", F.col("id").alias("naptan_id"), "name", "line_id", "line_name", "direction",
@@ -566,10 +569,9 @@ def stops(spark: SparkSession, folder: str) -> DataFrame:
 def sequences(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as routes: the parts a supplier sends in an order, by return flag."""
     items = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_returnflag")
-    direction = F.when(F.col("l_returnflag") == "A", "inbound").otherwise("outbound")
+    direction = F.when(F.col("l_returnflag") == "A", "inbound").when(F.col("l_returnflag") == "R", "outbound").otherwise("loop")
     routes = (
-        items.where(F.col("l_returnflag") != "N")
-        .groupBy("l_orderkey", F.concat(F.lit("s"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("line_id"), direction.alias("direction"))
+        items.groupBy("l_orderkey", F.concat(F.lit("s"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("line_id"), direction.alias("direction"))
         .agg(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("naptanIds"))
     )
     return routes.select("line_id", "direction", F.array(F.struct("naptanIds")).alias("orderedLineRoutes"))
@@ -594,8 +596,11 @@ def existing_stations(spark: SparkSession, fit: DataFrame, routes: DataFrame) ->
 
 def _station_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Diff of a sync against what an earlier one left."""
-    fit, routes = fitting_stops(spark, folder), topology.route_stops(sequences(spark, folder))
-    existing = existing_stations(spark, fit, routes)
+    stage = Staging(spark)
+    fit = stage(fitting_stops(spark, folder), "stops")
+    routes = stage(topology.route_stops(sequences(spark, folder)), "routes")
+    known = existing_stations(spark, fit, routes).withColumn("content_digest", topology.content_digest())
+    existing = stage(known, "existing")
     return topology.changed_stations(topology.fresh_stations(fit, routes, existing, F.lit(1)), existing)
 
 
@@ -725,12 +730,8 @@ def existing_scope(spark, folder):
 def board_candidates(spark, folder):
     """Parts as stations, suppliers as lines; a terminus is known on some line."""
     rows = fitting_stops(spark, folder).select("mode", "naptan_id", "line_id").distinct()
-    ways_out = (
-        topology.route_stops(sequences(spark, folder))
-        .where(F.substring("naptan_id", 2, 20).cast("bigint") % 10 == 0)
-        .withColumnRenamed("naptan_id", "dest_id")
-    )
-    return topology.board_candidates(rows, topology.departing_directions(ways_out)).select(
+    ways_out = topology.route_stops(sequences(spark, folder)).withColumnRenamed("naptan_id", "dest_id")
+    return topology.board_candidates(rows, topology.departing_directions(ways_out, Staging(spark))).select(
         "mode", "naptan_id", "cost", F.col("is_terminus").cast("int").alias("is_terminus")
     )
 
@@ -806,7 +807,7 @@ def epoch_ms_forms(spark, folder):
 
 
 def newest_in_delta(spark, folder):
-    rows = stamp_texts(spark, folder).where(F.col("form") != "ms")
+    rows = stamp_texts(spark, folder)
     ahead = replicate.newest_ms(rows, "stamp", "2000").withColumn("checkpoint", F.lit("old"))
     behind = replicate.newest_ms(rows, "stamp", "9000000000000").withColumn("checkpoint", F.lit("newer"))
     return ahead.unionByName(behind)

@@ -30,6 +30,8 @@ class Settings:
     # Length of one history block in cycles. It bounds the rows that one task
     # has to hold for one key, however long the history is.
     block_cycles: int = 1024
+    # Blocks that are chained as one.
+    group_blocks: int = 1024
 
 
 DEFAULTS = Settings()

@@ -66,13 +66,13 @@ def listed(df):
     return sorted((tuple(r) for r in df.select("mode", "station_key", "cycle", "reason", "digest").collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [1, 7])
+@pytest.mark.parametrize(("block", "group"), [(1, 1024), (7, 1), (2, 3)])
 @pytest.mark.parametrize("guard", [None, 50])
-def test_replay_equals_the_model(spark, block, guard):
+def test_replay_equals_the_model(spark, block, group, guard):
     for seed in (1, 2):
         presence, polls = random_history(seed, 60)
         seen, log = frames(spark, presence, polls)
-        sent, state = changes.replay(seen, log, guard=guard, settings=Settings(block_cycles=block))
+        sent, state = changes.replay(seen, log, guard=guard, settings=Settings(block_cycles=block, group_blocks=group))
         expected, left = model(presence, polls, guard, 5)
         assert listed(sent) == expected
         assert sorted(tuple(r) for r in state.select("mode", "station_key", "cycle", "digest", "last_emit").collect()) == left
@@ -85,7 +85,7 @@ def test_micro_batches_equal_one_replay(spark, cuts):
     edges, state, got = [0, *cuts, 60], None, []
     for lo, hi in zip(edges, edges[1:]):
         seen, log = frames(spark, presence, polls, lo, hi)
-        sent, after = changes.replay(seen, log, state=state, settings=Settings(block_cycles=8))
+        sent, after = changes.replay(seen, log, state=state, settings=Settings(block_cycles=4, group_blocks=2))
         got += listed(sent)
         state = spark.createDataFrame(after.collect(), schemas.STATION_STATE)
     assert sorted(got, key=str) == expected
@@ -144,3 +144,26 @@ def test_one_station_with_a_third_of_all_rows(spark):
             expected.append((c, "changed" if changed else "heartbeat"))
             last = c
     assert got == expected
+
+
+def test_a_million_cycles_of_one_key(spark):
+    """Blocks, groups of blocks and the list of groups are all short."""
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    one = spark.range(n).select(
+        F.lit("bus").alias("mode"), F.lit("Station_490").alias("station_key"), F.col("id").alias("cycle"),
+        F.floor(F.col("id") / 97).cast("string").alias("digest"),
+    )
+    polls = spark.createDataFrame([("bus", 0, 0)], "mode string, cycle bigint, arrivals bigint")
+    small = Settings(block_cycles=100, group_blocks=100)
+    sent, state = changes.replay(one, polls, guard=None, settings=small)
+    got = sent.groupBy("reason", (F.col("cycle") % 97).alias("at")).count().collect()
+    expected = {}
+    for c in range(n):
+        at = c % 97
+        if at % 5 == 0:
+            key = ("changed" if at == 0 else "heartbeat", at)
+            expected[key] = expected.get(key, 0) + 1
+    assert {(r["reason"], r["at"]): r["count"] for r in got} == expected
+    assert state.select("cycle", "last_emit").head()[:] == (n - 1, n - 1 - (n - 1) % 97 % 5)

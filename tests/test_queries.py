@@ -6,11 +6,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from deltaboard.plans import oracles
-from deltaboard.plans.queries import all_queries
+from deltaboard.plans import oracles, queries, stream_oracles, stream_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def all_queries():
+    return queries.all_queries() | stream_queries.all_queries()
+
+
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -25,7 +30,7 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(all_queries()) == set(oracles.all_sql())
+    assert set(all_queries()) == set(oracles.all_sql() | stream_oracles.all_sql())
     assert set(all_queries()) <= set(entry.queries())
 
 
