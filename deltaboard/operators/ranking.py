@@ -82,7 +82,8 @@ def budgeted_pick(
     checked = F.when(F.col(cost) >= 1, F.col(cost)).otherwise(
         F.raise_error(F.concat(F.lit("a cost must be 1 or more, not "), F.coalesce(F.col(cost).cast("string"), F.lit("null"))))
     )
-    fits = df.where(checked <= budget)
+    # The check takes the column's place, so that no filter on it comes before.
+    fits = df.withColumn(cost, checked.cast(df.schema[cost].dataType)).where(F.col(cost) <= budget)
     sort = [F.col(c) for c in [*order, key]]
     able = first_k(fits, [*within, cost], sort, budget, "_nth").where(
         F.col("_nth") <= F.floor(F.lit(budget) / F.col(cost))

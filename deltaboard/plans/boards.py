@@ -90,6 +90,8 @@ class BoardPlanner:
         self.settings = settings
         self.counter = VersionedTable(spark, f"{root}/state/rotation", schemas.SYNC_METADATA)
         self.plans = VersionedTable(spark, f"{root}/state/planned", schemas.PLANNED)
+        self.calls = VersionedTable(spark, f"{root}/state/board_calls", schemas.BOARD_CALL)
+        self.summaries = VersionedTable(spark, f"{root}/state/board_summary", schemas.BOARD_SUMMARY)
 
     def rotation(self, cycle: int | None = None) -> int:
         """The counter that ``cycle`` starts from; a cycle that is planned again starts where it did."""
@@ -105,10 +107,12 @@ class BoardPlanner:
                 settings=self.settings, **given,
             )
             self.plans.write(made.planned, cycle)
+            self.calls.write(made.calls, cycle)
+            self.summaries.write(made.summary, cycle)
             self.counter.write(spark.createDataFrame([(self.COUNTER, str(made.rotation))], schemas.SYNC_METADATA), cycle)
-        for table in (self.plans, self.counter):
+        for table in (self.plans, self.calls, self.summaries, self.counter):
             table.expire()
-        return made
+        return BoardPlan(self.plans.read(), self.calls.read(), self.summaries.read(), made.rotation)
 
     def planned(self) -> DataFrame:
         """The plan of the newest cycle, for ``run_cycles``."""

@@ -68,6 +68,9 @@ PLANNED = Schema(
 )
 # One row per finished poll: how many rows it fetched. Null boards are not waited for.
 POLL = Schema("mode string, cycle bigint, fetched_at timestamp, arrivals bigint, boards bigint")
+# What a board plan asks for, and its figures per mode.
+BOARD_CALL = Schema("mode string, cycle bigint, pick_no int, naptan_id string, source_id string, line_id string")
+BOARD_SUMMARY = Schema("mode string, candidates bigint, termini bigint, stations bigint, calls bigint, skipped bigint")
 DEPARTING = Schema("line_id string, naptan_id string, departing string")
 
 # Documents, in the canonical form: arrays sorted by key, so that they compare
