@@ -96,6 +96,68 @@ WITH d AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
 
+# The repair of op12: crc32 by its table, the damage, and the cheapest audit by whole strings, one row of all conversations a step.
+# States: 0 nothing yet, 1 after system, 2 after user, 3 after assistant.
+REPAIR = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) AS b(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (
+  SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8
+), groups AS (
+  SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)
+), keyed AS (
+  SELECT g, row_number() OVER () AS id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS letters
+  FROM conversations c JOIN groups x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+), crc AS (
+  SELECT keyed.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(letters, lambda a: ascii(a)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS hurt FROM keyed, tab
+), d AS (
+  SELECT g, id, turn, CASE WHEN hurt = 4 THEN 'user' ELSE role END AS role,
+    CASE hurt WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN hurt = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM crc WHERE hurt <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text), id, copy) AS i,
+    row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, id, copy) AS nth FROM d
+), f AS (
+  SELECT *, substr(role, 1, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd'
+    WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '-' ELSE 't' END AS fault FROM o
+), pairs AS (
+  SELECT g, count(*) AS illegal FROM (SELECT g, lag(c) OVER (PARTITION BY g ORDER BY i) || c AS two, i FROM f) WHERE i > 1 AND two NOT IN ('su', 'ua', 'au') GROUP BY g
+), counts AS (
+  SELECT g, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated FROM f GROUP BY g
+), ins(s, t, cost, edits, lines) AS (
+  VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', 'user:' || chr(10)), (0, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (1, 1, 0, '', ''), (1, 2, 2, 'I', 'user:' || chr(10)), (1, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (2, 2, 0, '', ''), (2, 3, 2, 'I', 'assistant:' || chr(10)), (3, 3, 0, '', ''), (3, 2, 2, 'I', 'user:' || chr(10))
+), act(s, t, kind, c, cost) AS (
+  VALUES (0, 0, 'D', '', 3), (1, 1, 'D', '', 3), (2, 2, 'D', '', 3), (3, 3, 'D', '', 3),
+    (0, 2, 'R', '', 2), (1, 2, 'R', '', 2), (2, 3, 'R', '', 2), (3, 2, 'R', '', 2),
+    (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0), (3, 2, 'K', 'u', 0)
+), walk AS (
+  SELECT g, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, '' AS body FROM groups
+  UNION ALL
+  SELECT g, i, t, min(way).cost, min(way).audit, arg_min(body, way) FROM (
+    SELECT w.g, f.i, e.t, {'cost': (w.cost + n.cost + e.cost + CASE WHEN f.fault = 't' AND e.kind <> 'D' THEN 1 ELSE 0 END)::BIGINT, 'audit': w.audit || n.edits || e.kind} AS way,
+      w.body || n.lines || CASE e.kind WHEN 'K' THEN f.role || ':' || f.text || chr(10) WHEN 'R' THEN CASE e.t WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text || chr(10) ELSE '' END AS body
+    FROM walk w JOIN f ON f.g = w.g AND f.i = w.i + 1 JOIN ins n ON n.s = w.s
+      JOIN act e ON e.s = n.t AND (e.kind = 'D' OR (f.fault NOT IN ('b', 'd') AND (e.kind = 'R' OR e.c = f.c)))
+  ) GROUP BY g, i, t
+), last AS (
+  SELECT g, min(way).cost AS cost, min(way).audit AS audit, arg_min(body, way) AS body FROM (
+    SELECT w.g, {'cost': (w.cost + n.cost)::BIGINT, 'audit': w.audit || n.edits} AS way, w.body || n.lines AS body
+    FROM walk w JOIN ins n ON n.s = w.s AND n.t IN (0, 3) LEFT JOIN counts c ON c.g = w.g WHERE w.i = coalesce(c.n, 0)
+  ) GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, audit,
+  sha256(CASE WHEN body = '' THEN '' ELSE left(body, length(body) - 1) END) AS repaired_sha256
+FROM groups JOIN last USING (g) LEFT JOIN counts USING (g) LEFT JOIN pairs USING (g)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op7_quality_rules": QUALITY, "op13_phrases": PHRASES}
+    return {"op7_quality_rules": QUALITY, "op12_conversations": REPAIR, "op13_phrases": PHRASES}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from deltaboard.session import Staging
 
+#: Up to this many bytes, as counted, findings are sent to the texts when they are redacted.
+BROADCAST_BYTES = 32 << 20
 DICTIONARY = 30_000
 LABELLED = 20_000
 TREES = 20
@@ -30,11 +32,11 @@ FORMATS = {
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36,}\b",
     "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "json_web_token": r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]+",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----",
 }
 HINT = re.compile("AKIA|ASIA|gh[pousr]_|xox[abprs]-|eyJ|-----BEGIN")
 FORMAT = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in FORMATS.items()))
-NAMED = re.compile(r"(?:" + "|".join(NAMES) + r")[\w-]*[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.IGNORECASE)
+NAMED = re.compile(r"(?:" + "|".join(NAMES) + r")[\w-]{0,64}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.IGNORECASE)
 BARE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 DIGITS = re.compile(r"\d")
 PIECES = re.compile(r"[a-z]{3,}")
@@ -231,9 +233,14 @@ def redact(docs: DataFrame, findings: DataFrame, columns: list[str], filler: str
 
     Rows meet their findings by doc_id, null or not, and text, so rows that share
     an id each lose their own secrets and nothing else. Repeated rows stay repeated.
+    The findings are sent to the texts while they take at most ``BROADCAST_BYTES``,
+    so that the texts need not move; beyond that both sides shuffle.
     """
     spans = findings.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "_of", "mark": "_mark"})
+    # A finding with its row's id and digest takes less than 200 bytes.
+    if findings.count() * 200 <= BROADCAST_BYTES:
+        spans = F.broadcast(spans)
     marked = docs.select(*columns).withColumn("mark", F.sha2(F.col("text").cast("binary"), 256))
     pieces = F.transform(
         "spans",

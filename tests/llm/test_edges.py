@@ -150,3 +150,18 @@ def test_numerals_are_no_letters(spark):
     odd = spark.createDataFrame([(1, "² ½ ① Ⅷ"), (2, "12 _ ³"), (3, "haus² das"), (4, "das haus")], "doc_id long, text string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict_language(odd, word_counts(docs)).collect()}
     assert got[1] == got[2] == ("und", 0.0) and got[3] == got[4] and got[3][0] == "de"
+
+
+def test_candidates_of_very_long_texts_in_linear_time():
+    """Names that never end and keys that never close."""
+    import time
+
+    from deltaboard.llm.secrets import candidates
+
+    begin = time.perf_counter()
+    assert not [c for c in candidates("token" * 40_000) if c[2] == "named"]
+    assert not [c for c in candidates("-----BEGIN RSA PRIVATE KEY-----\nabc\n" * 6_000) if c[2] == "private_key"]
+    closed = "-----BEGIN PRIVATE KEY-----\n" * 3 + "abc\n-----END PRIVATE KEY-----"
+    assert [closed[a:b].count("BEGIN") for a, b, kind in candidates(closed) if kind == "private_key"] == [1]
+    assert [t[a:b] for t in ["my_token_of_the_app = 'abc123xyz'"] for a, b, kind in candidates(t) if kind == "named"] == ["abc123xyz"]
+    assert time.perf_counter() - begin < 10
