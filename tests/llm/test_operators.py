@@ -26,9 +26,10 @@ def texts(spark):
     return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
 
 
-def test_quality_has_a_twin(spark):
+def test_queries_with_a_twin(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     for name, sql in oracles.all_sql().items():
         found = con.execute(sql)
         names = [d[0] for d in found.description]
