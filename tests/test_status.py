@@ -14,7 +14,7 @@ from deltaboard.settings import Settings
 
 def raw(spark, rows):
     """Rows (sync, line, description, reason) with one status entry and no code."""
-    full = [(s, i, "tube", line, line.title(), [(None, d, r)]) for i, (s, line, d, r) in enumerate(rows)]
+    full = [(s, i, None, "tube", line, line.title(), [(None, d, r)]) for i, (s, line, d, r) in enumerate(rows)]
     return spark.createDataFrame(full, schemas.RAW_LINE_STATUS)
 
 
