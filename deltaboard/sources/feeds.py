@@ -6,19 +6,44 @@ and fetch time. A call that failed has simply no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaboard import schemas
+from deltaboard.schemas import Schema
+
+
+def land(rows: DataFrame, path: str, fmt: str = "json") -> None:
+    """Append fetched rows, in folders by mode and cycle, so that a reader of some polls lists and reads only theirs.
 
+    A null mode or cycle has a folder of its own and comes back as null.
+    """
+    rows.write.mode("append").partitionBy("mode", "cycle").format(fmt).save(path)
+
+
+def read_feed(
+    spark: SparkSession, path: str, schema: str, fmt: str = "json", stream: bool = False,
+    modes: Sequence[str] | None = None, cycles: tuple[int, int] | None = None,
+) -> DataFrame:
+    """A landed feed, in folders by mode and cycle or flat.
 
-def read_feed(spark: SparkSession, path: str, schema: str, fmt: str = "json", stream: bool = False) -> DataFrame:
+    ``modes`` and ``cycles`` (first and last) name the polls to read; of a feed in
+    folders no other file is opened.
+    """
     reader = spark.readStream if stream else spark.read
-    return reader.schema(schema).format(fmt).load(path)
+    raw = reader.schema(schema).format(fmt).load(path)
+    if modes is not None:
+        raw = raw.where(F.col("mode").isin(list(modes)))
+    if cycles is not None:
+        raw = raw.where(F.col("cycle").between(*cycles))
+    # Folder columns come last; the schema's order holds for either layout.
+    return raw.select(*[name for name in Schema(schema).names])
 
 
-def arrivals(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False) -> DataFrame:
-    return normalise_arrivals(read_feed(spark, path, schemas.RAW_ARRIVAL, fmt, stream))
+def arrivals(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False, **polls) -> DataFrame:
+    return normalise_arrivals(read_feed(spark, path, schemas.RAW_ARRIVAL, fmt, stream, **polls))
 
 
 def normalise_arrivals(raw: DataFrame) -> DataFrame:
@@ -46,8 +71,8 @@ def polls(spark: SparkSession, path: str, fmt: str = "json", stream: bool = Fals
     return read_feed(spark, path, schemas.POLL, fmt, stream)
 
 
-def boards(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False) -> DataFrame:
-    return normalise_boards(read_feed(spark, path, schemas.RAW_BOARD, fmt, stream))
+def boards(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False, **polls) -> DataFrame:
+    return normalise_boards(read_feed(spark, path, schemas.RAW_BOARD, fmt, stream, **polls))
 
 
 def normalise_boards(raw: DataFrame) -> DataFrame:

@@ -50,6 +50,25 @@ def test_lines_stops_and_routes_as_landed(spark, tmp_path):
     assert rows_of(stops) == [("x", "inbound", "S"), ("x", "inbound", "T")]
 
 
+def test_polls_of_a_feed_in_folders(spark, tmp_path):
+    """Rows come back as from a flat feed, and a reader of one poll opens one poll's files."""
+    path = str(tmp_path / "feed")
+    rows = [(m, c, i, None, f"{m}{c}{i}") for m in ("bus", "tube", None) for c in (1, 2, 3) for i in range(2)]
+    feeds.land(spark.createDataFrame(rows, "mode string, cycle bigint, feed_seq bigint, fetched_at timestamp, naptanId string"), path)
+    seen = lambda df: sorted((str(r.mode), r.cycle, r.feed_seq, r.naptan_id) for r in df.collect())
+    whole = feeds.arrivals(spark, path)
+    assert whole.columns == schemas.ARRIVAL.names
+    assert seen(whole) == sorted((str(m), c, i, n) for m, c, i, _, n in rows)
+    some = feeds.arrivals(spark, path, modes=["bus", "dlr"], cycles=(2, 3))
+    assert seen(some) == sorted((m, c, i, n) for m, c, i, _, n in rows if m == "bus" and c > 1)
+    files = some.select(F.input_file_name().alias("f")).distinct().collect()
+    assert all("mode=bus/cycle=" in r.f for r in files)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(" in plan
+    stream = feeds.arrivals(spark, path, stream=True, modes=["tube"])
+    assert stream.isStreaming and stream.columns == schemas.ARRIVAL.names
+
+
 def test_poll_log_as_landed(spark, tmp_path):
     df = feeds.polls(spark, landed(tmp_path, [{"mode": "bus", "cycle": 1, "fetched_at": "2026-07-19T12:00:00Z", "arrivals": 7}]))
     assert df.columns == schemas.POLL.names and df.head()["arrivals"] == 7 and df.head()["boards"] is None
