@@ -308,10 +308,10 @@ def sample_all(graph: Lattices, seeds: list[int], samples: int) -> list:
     return results
 
 
-def encode_samples(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = 0, with_ids: bool = True) -> DataFrame:
+def encode_samples(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = 0) -> DataFrame:
     """Up to ``samples`` distinct segmentations of every whole text of ``docs(doc_id, text)``.
 
-    Result: ``doc_id, sample`` (from 0), ``ids`` (array of int; null without ``with_ids``), ``n_ids, ids_crc32``
+    Result: ``doc_id, sample`` (from 0), ``ids`` (array of int), ``n_ids, ids_crc32``
     (little-endian unsigned 32-bit), ``log_prob``, ``perturbed`` (the score it was
     chosen by), ``log_inclusion`` (log of the probability of being among the samples,
     given the score of the first one left out; 0 if none is left), ``decoded``
@@ -347,7 +347,7 @@ def encode_samples(docs: DataFrame, model: str, samples: int = SAMPLES, seed: in
                         gap = path.total - below
                         inclusion = 0.0 if below == -math.inf else (gap if gap < -30 else math.log(-math.expm1(-math.exp(min(gap, 700.0)))))
                         same = pieces.decode(ids.tolist()) == text
-                        rows.append((doc, k, ids if with_ids else None, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), path.total, score, inclusion, same))
+                        rows.append((doc, k, ids, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), path.total, score, inclusion, same))
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
                 at = end
 

@@ -56,7 +56,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return encode_samples(table(spark, sf_dir, "documents"), path, with_ids=False).drop("ids")
+    return encode_samples(table(spark, sf_dir, "documents"), path)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,15 @@
 """Every operator and stage on odd rows and on empty tables."""
 
+import collections
+import zlib
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from deltaboard.llm import queries
 from deltaboard.llm.containment import contained_items
 from deltaboard.llm.language import predict_language, word_counts
 from deltaboard.llm.maintext import extract_pages
@@ -165,3 +170,15 @@ def test_candidates_of_very_long_texts_in_linear_time():
     assert [closed[a:b].count("BEGIN") for a, b, kind in candidates(closed) if kind == "private_key"] == [1]
     assert [t[a:b] for t in ["my_token_of_the_app = 'abc123xyz'"] for a, b, kind in candidates(t) if kind == "named"] == ["abc123xyz"]
     assert time.perf_counter() - begin < 10
+
+
+def test_sampled_segmentations_are_returned(spark, tmp_path):
+    texts = {1: "a text to cut into pieces", 2: "été – 漢字 \U0001f600", 3: None, 4: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_sentencepiece(spark, str(tmp_path))
+    rows = got.collect()
+    for r in rows:
+        assert len(r["ids"]) == r["n_ids"]
+        assert zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"]
+    assert collections.Counter(r["doc_id"] for r in rows) == {1: 2, 2: 2, 3: 1, 4: 1}
+    assert all(r["text"] == (texts[r["doc_id"]] or "") for r in decode_samples(got, MODEL).collect())
