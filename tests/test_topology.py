@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deltaboard import schemas
 from deltaboard.operators import ranking, topology
+from deltaboard.plans import queries
 from deltaboard.plans.stations import sync_stations
 
 
@@ -127,3 +128,30 @@ def test_other_modes_stay(spark):
     more = sync(spark, [PUTNEY, ("7", *PUTNEY[1:])], first, lines=["39", "7"]).collect()[0]
     assert [line.id for line in more.modes[0].lines] == ["39", "7"] and more.change == "changed"
     assert sync(spark, [("7", *PUTNEY[1:])], first, lines=["39", "7"], line_id="39").count() == 0
+
+
+def test_keys_are_in_order_with_nulls_last(spark):
+    rows = spark.createDataFrame([(["b", None, "a", None, "B"],), ([],), (None,)], "keys array<string>")
+    got = [r[0] for r in rows.select(topology.in_order(F.col("keys"))).collect()]
+    assert got == [["B", "a", "b", None, None], [], None]
+    lines = spark.createDataFrame([([(None, [("7", "7", ["out", "in"])])],)], f"modes {schemas.MODES}")
+    assert lines.select(topology.search_keys(F.col("modes"))).collect()[0][0] == ["7", "7_in", "7_out", None]
+
+
+def test_stations_meet_their_lines_in_one_exchange(spark, capsys):
+    columns = ["mode", "line_id", "naptan_id", *topology.SCALARS]
+    stops = spark.range(9).select(*[F.col("id").cast("double" if c in ("lat", "lon") else "string").alias(c) for c in columns])
+    routes = spark.range(9).select(*[F.col("id").cast("string").alias(c) for c in ("line_id", "naptan_id", "direction")])
+    topology.fresh_stations(stops, routes, spark.createDataFrame([], schemas.STATION), F.lit(1)).explain()
+    exchanges = [line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning(naptan_id" in line]
+    assert exchanges and not any(", mode#" in line for line in exchanges)
+
+
+def test_scope_reads_stations_made_once(spark, tmp_path):
+    items = [(o, p, s, flag) for o, (p, s, flag) in enumerate([(4, 2, "A"), (5, 1, "R"), (6, 3, "N"), (6, 3, "A"), (None, 1, "A"), (5, None, "R")])]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(p, f"part {p}", "STEEL", "Brand#11", p, 900.0) for p in (4, 5, 6)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.existing_scope(spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if "lineitem.parquet" in f or "part.parquet" in f]
+    assert sorted(map(tuple, got.collect())) == [("bus", "p4"), ("line", "p5"), ("rail", "p5"), ("rail", "p6")]
