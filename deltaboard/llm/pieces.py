@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import math
 import re
 import zlib
@@ -30,8 +31,11 @@ SPACE = "▁"
 SAMPLES = 2
 RUN_CHARS = 250_000
 BYTE_COST = 14.0
+BUCKET_BITS = 20
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 U = np.uint64
+ALL = 2**64 - 1
+SPREAD = 0xBF58476D1CE4E5B9
 
 
 class Pieces:
@@ -60,21 +64,39 @@ class Pieces:
                 begins.setdefault(piece[:end], -1)
         for value, number in enumerate(self.bytes):
             self.content[number] = bytes([value])
+        self.sizes = np.array(list(map(len, self.content)), dtype=np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.data = np.frombuffer(b"".join(self.content), dtype=np.uint8)
         self.longest = max(map(len, begins))
-        hashes = np.array([self._hash(b) for b in begins], dtype=U)
+        hashes = np.array([self._hash(b) for b in begins], dtype=U) * U(SPREAD)
         order = np.argsort(hashes)
-        self.keys, self.numbers = hashes[order], np.array(list(begins.values()))[order]
+        self.numbers = np.append(np.array(list(begins.values()), dtype=np.int32)[order], np.int32(-1))
+        # Keys lie in buckets by their first bits, few in each; the last key is greater than all looked for but itself.
+        self.keys = np.append(hashes[order], U(ALL))
+        sizes = np.bincount((self.keys[:-1] >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
+        self.bucket, self.fullest = (np.cumsum(sizes) - sizes).astype(np.int32), int(sizes.max())
 
     @staticmethod
     def _hash(text: str) -> int:
         value = 0
         for c in text:
-            value = (value * 0x9E3779B97F4A7C15 + ord(c) + 1) & (2**64 - 1)
+            value = (value * 0x9E3779B97F4A7C15 + ord(c) + 1) & ALL
         return value
 
-    def decode(self, ids: list[int]) -> str:
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the beginnings with these hashes stand, and which of the hashes are known."""
+        spread = hashes * U(SPREAD)
+        at = self.bucket[(spread >> U(64 - BUCKET_BITS)).view(np.int64)]
+        for _ in range(self.fullest):
+            at = at + (self.keys[at] < spread)
+        return at, self.keys[at] == spread
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of the ids: the space that encoding puts first is taken off, bytes are read as UTF-8."""
-        data = b"".join(map(self.content.__getitem__, ids))
+        ids = np.asarray(ids, dtype=np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        data = self.data[np.repeat(self.ends[ids] - ends, sizes) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
@@ -91,74 +113,100 @@ class Lattices:
 
     def __init__(self, pieces: Pieces, texts: list[str]):
         self.pieces = pieces
-        numbers: dict[str, int] = {}
-        number = numbers.setdefault
-        parts = []
-        for text in texts:
-            segments = SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            parts.append(np.fromiter((number(s, len(numbers)) for s in segments), dtype=np.int64, count=len(segments)))
+        segments = [SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        numbers = dict.fromkeys(itertools.chain.from_iterable(segments))
+        numbers = dict(zip(numbers, range(len(numbers))))
+        parts = [np.fromiter(map(numbers.__getitem__, s), dtype=np.int64, count=len(s)) for s in segments]
         sizes = np.fromiter(map(len, numbers), dtype=np.int64, count=len(numbers))
         begins = np.cumsum(sizes) - sizes
         self.starts = [begins[p] for p in parts]
-        codes = np.frombuffer("".join(numbers).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        stop = np.repeat(begins + sizes, sizes)
+        codes = np.frombuffer("".join(numbers).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
+        stop = np.repeat((begins + sizes).astype(np.int32), sizes)
         self._arcs(codes, stop)
         self._shares(stop)
 
     def _arcs(self, codes: np.ndarray, stop: np.ndarray) -> None:
         pieces, n = self.pieces, len(codes)
-        alive, hashes = np.arange(n), np.zeros(n, dtype=U)
-        begin, end, ids = [], [], []
-        single = np.zeros(n, dtype=bool)
+        alive = np.arange(n, dtype=np.int32)
+        hashes, left = np.zeros(n, dtype=U), stop - alive
+        terms = (codes + 1).astype(U)
+        found = []
+        counts = np.zeros(n, dtype=np.int32)
         for size in range(1, pieces.longest + 1):
-            inside = alive + size <= stop[alive]
-            alive, hashes = alive[inside], hashes[inside]
-            hashes = hashes * U(0x9E3779B97F4A7C15) + (codes[alive + size - 1] + 1).astype(U)
-            at = np.minimum(np.searchsorted(pieces.keys, hashes), len(pieces.keys) - 1)
-            known = pieces.keys[at] == hashes
-            alive, hashes, at = alive[known], hashes[known], at[known]
-            whole = pieces.numbers[at] >= 0
-            begin.append(alive[whole])
-            end.append(alive[whole] + size)
-            ids.append(pieces.numbers[at][whole])
-            if size == 1:
-                single[alive[whole]] = True
+            if size > 1:
+                inside = left >= size
+                alive, hashes, left = alive[inside], hashes[inside], left[inside]
             if not len(alive):
                 break
-        bare = np.nonzero(~single)[0]
-        begin, end, ids = (np.concatenate(x) for x in ([*begin, bare], [*end, bare + 1], [*ids, -1 - codes[bare]]))
-        order = np.argsort(begin, kind="stable")
-        begin, end, self.ids = begin[order], end[order], ids[order]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(begin, minlength=n))]) if n else np.zeros(1, dtype=np.int64)
-        self.begin, self.to = begin, np.where(end < stop[begin], end, -1)
-        lengths = 1 + (self.ids < -128) + (self.ids < -2048) + (self.ids < -65536)
-        self.weight = np.where(self.ids < 0, np.exp(-BYTE_COST * lengths), pieces.weights[np.maximum(self.ids, 0)])
+            hashes = hashes * U(0x9E3779B97F4A7C15) + terms[alive + (size - 1)]
+            at, known = pieces.places(hashes)
+            alive, hashes, left, at = alive[known], hashes[known], left[known], at[known]
+            numbers = pieces.numbers[at]
+            whole = numbers >= 0
+            begin, ids = alive[whole], numbers[whole]
+            if size == 1:
+                bare = np.ones(n, dtype=bool)
+                bare[begin] = False
+                bare = np.nonzero(bare)[0].astype(np.int32)
+                begin, ids = np.concatenate([begin, bare]), np.concatenate([ids, -1 - codes[bare]])
+            # A state has one arc of a size at most, so its shorter arcs so far say which of its arcs this is.
+            found.append((begin, begin + np.int32(size), ids, counts[begin]))
+            counts[begin] += 1
+        self.at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        self.ids, end = np.empty(self.at[-1], dtype=np.int32), np.empty(self.at[-1], dtype=np.int32)
+        for begin, to, ids, which in found:
+            place = self.at[begin] + which
+            self.ids[place], end[place] = ids, to
+        self.begin = np.repeat(np.arange(n, dtype=np.int32), counts)
+        self.to = np.where(end < stop[self.begin], end, np.int32(-1))
+        self.weight = pieces.weights[np.maximum(self.ids, 0)]
+        bare = np.nonzero(self.ids < 0)[0]
+        lengths = 1 + (self.ids[bare] < -128) + (self.ids[bare] < -2048) + (self.ids[bare] < -65536)
+        self.weight[bare] = np.exp(-BYTE_COST * lengths)
 
     def _shares(self, stop: np.ndarray) -> None:
         n = len(stop)
-        mass = np.zeros(n + 1)  # log of the sum over all that may follow
-        depth = stop[self.begin] - self.begin
-        order = np.argsort(depth, kind="stable")
-        cuts = np.concatenate([[0], np.nonzero(np.diff(depth[order]))[0] + 1, [len(order)]]) if n else [0]
-        weight = self.weight
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            arcs = order[low:high]
-            begin, to = self.begin[arcs], self.to[arcs]
-            base = np.where(begin + 1 < stop[begin], mass[begin + 1], 0.0)
-            weight[arcs] *= np.exp(np.where(to >= 0, mass[to], 0.0) - base)
-            first = np.concatenate([[0], np.nonzero(np.diff(begin))[0] + 1])
-            mass[begin[first]] = base[first] + np.log(np.add.reduceat(weight[arcs], first))
         counts = np.diff(self.at)
         if not n:
             self.edges = self.logs = np.zeros(0)
             return
-        shares = weight / np.repeat(np.add.reduceat(weight, self.at[:-1]), counts)
+        mass = np.zeros(n + 1)  # log of the sum over all that may follow; the last stands for an end
+        depth = stop - np.arange(n, dtype=np.int32)
+        # Short numbers sort by their digits.
+        states = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(depth))[1:]])
+        sizes = counts[states]
+        ends = np.cumsum(sizes)
+        order = np.arange(ends[-1]) + np.repeat(self.at[states] - (ends - sizes), sizes)
+        to, weight, firsts = self.to[order], self.weight[order], ends - sizes
+        nexts = np.where(depth[states] > 1, states + 1, n)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if low == high:
+                continue
+            arcs = slice(firsts[low], ends[high - 1])
+            base = mass[nexts[low:high]]
+            weight[arcs] *= np.exp(mass[to[arcs]] - np.repeat(base, sizes[low:high]))
+            mass[states[low:high]] = base + np.log(np.add.reduceat(weight[arcs], firsts[low:high] - firsts[low]))
+        shares = np.empty(len(weight))
+        shares[order] = weight
+        shares /= np.repeat(np.add.reduceat(shares, self.at[:-1]), counts)
         # Running share of the arcs of each state, plus the number of the state: one sorted array to search.
         running = np.cumsum(shares)
         before = np.concatenate([[0.0], running])[self.at[:-1]]
         self.edges = np.clip(running - before[self.begin], 0.0, 1.0) + self.begin
         self.edges[self.at[1:] - 1] = np.arange(n) + 1.0
-        self.logs = np.where(np.repeat(counts, counts) == 1, 0.0, np.log(np.maximum(shares, 1e-300)))
+        self.logs = np.log(np.maximum(shares, 1e-300))
+        self.logs[self.at[:-1][counts == 1]] = 0.0
+
+    def drawn(self, states: np.ndarray, fractions: np.ndarray) -> np.ndarray:
+        """The arc of each state whose running share is the first above the fraction."""
+        arcs, sought = self.at[states], states + fractions
+        behind = np.nonzero((self.edges[arcs] <= sought) & (arcs < self.at[states + 1] - 1))[0]
+        while len(behind):
+            arcs[behind] += 1
+            of = arcs[behind]
+            behind = behind[(self.edges[of] <= sought[behind]) & (of < self.at[states[behind] + 1] - 1)]
+        return arcs
 
     def ids_of(self, arcs: np.ndarray) -> np.ndarray:
         found = self.ids[arcs]
@@ -184,13 +232,21 @@ def _fraction(keys: np.ndarray) -> np.ndarray:
     return ((_mixed(keys) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def _mixed_one(value: int) -> int:
+    """``_mixed`` of one number."""
+    value = ((value ^ (value >> 30)) * SPREAD) & ALL
+    value = ((value ^ (value >> 27)) * 0x94D049BB133111EB) & ALL
+    return value ^ (value >> 31)
+
+
 def _key(seed: int, draw: int) -> int:
-    return int(_mixed(np.array([(seed + draw * 0x9E3779B97F4A7C15) & (2**64 - 1)], dtype=U))[0])
+    return _mixed_one((seed + draw * 0x9E3779B97F4A7C15) & ALL)
 
 
 def uniform(seed: int, draw: int, use: int) -> float:
     """A number in (0, 1) that depends only on the row's seed, the sample and what it is used for."""
-    return float(_fraction(np.array([(_key(seed, draw) + (use + (1 << 40)) * 0x2545F4914F6CDD1D) & (2**64 - 1)], dtype=U))[0])
+    mixed = _mixed_one((_key(seed, draw) + (use + (1 << 40)) * 0x2545F4914F6CDD1D) & ALL)
+    return ((mixed >> 11) + 0.5) / 2.0**53
 
 
 class Path:
@@ -209,7 +265,7 @@ def walk(graph: Lattices, requests: list[tuple[np.ndarray, np.ndarray, int]]) ->
     The draws of a state depend only on the key and its place, not on what is drawn
     along with it. Returns ``(arcs, places)`` in text order per request.
     """
-    to, edges = graph.to, graph.edges
+    to = graph.to
     sizes = np.array([len(r[0]) for r in requests])
     states = np.concatenate([r[0] for r in requests])
     places = np.concatenate([r[1] for r in requests])
@@ -217,7 +273,7 @@ def walk(graph: Lattices, requests: list[tuple[np.ndarray, np.ndarray, int]]) ->
     keys, of, step = _mixed(keys), np.arange(len(states)), 0
     drawn, owners = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     while len(states):
-        arcs = np.searchsorted(edges, states + _fraction(keys + U(step * 0x2545F4914F6CDD1D & (2**64 - 1))), side="right")
+        arcs = graph.drawn(states, _fraction(keys + U(step * 0x2545F4914F6CDD1D & ALL)))
         drawn.append(arcs)
         owners.append(of)
         states = to[arcs]
@@ -336,7 +392,7 @@ def encode_samples(docs: DataFrame, model: str, samples: int = SAMPLES, seed: in
                 end, size, seeds = at, 0, []
                 while end < len(texts) and size < RUN_CHARS:
                     number = -1 if pd.isna(docs_of[end]) else int(docs_of[end])
-                    seeds.append(int(_mixed(np.array([number & (2**64 - 1)], dtype=U) ^ U(seed & (2**64 - 1)))[0]))
+                    seeds.append(_mixed_one((number ^ seed) & ALL))
                     size += len(texts[end])
                     end += 1
                 graph = Lattices(pieces, texts[at:end])
@@ -346,7 +402,7 @@ def encode_samples(docs: DataFrame, model: str, samples: int = SAMPLES, seed: in
                         ids = graph.ids_of(path.arcs)
                         gap = path.total - below
                         inclusion = 0.0 if below == -math.inf else (gap if gap < -30 else math.log(-math.expm1(-math.exp(min(gap, 700.0)))))
-                        same = pieces.decode(ids.tolist()) == text
+                        same = pieces.decode(ids) == text
                         rows.append((doc, k, ids, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), path.total, score, inclusion, same))
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
                 at = end
@@ -361,7 +417,7 @@ def decode_samples(encoded: DataFrame, model: str) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = pieces_of(model)
         for batch in batches:
-            texts = [None if ids is None else pieces.decode([int(i) for i in ids]) for ids in batch["ids"]]
+            texts = [None if ids is None else pieces.decode(ids) for ids in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "sample": batch["sample"], "text": texts})
 
     return encoded.select("doc_id", "sample", "ids").mapInPandas(decode, "doc_id long, sample int, text string")
