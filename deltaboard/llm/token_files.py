@@ -17,11 +17,12 @@ A reader takes the last bytes, then the index, then only the frames it needs.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,10 @@ CHECKSUM_FLAG = 0x80
 
 FRAME_IDS = 1 << 16
 END_ID = 2
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_200_000
+RUN_WORDS = 1000
+#: How pieces write the byte of a space.
+SPACE = "Ġ"
 
 
 def checksum(data: bytes) -> int:
@@ -142,7 +146,9 @@ class Encoder:
 
     Texts are cut at single spaces, each kept with the word behind it: the pattern
     of the tokenizer always cuts there unless two white space characters meet, and
-    such texts go through the pattern whole. The kept entries are bounded.
+    such texts go through the pattern whole. Latin letters with marks behind them
+    are cut without the pattern, which cuts them between the two. The kept entries
+    are bounded.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -150,48 +156,73 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # Spark's tasks are the threads here.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.spaced = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.spaced[[number for piece, number in self.library.get_vocab().items() if piece.startswith(SPACE)]] = True
         self.pattern = regex.compile(pattern)
         self.doubled = re.compile(r"\s\s")
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks = {}
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces = {}
-        cut = [self.pattern.findall(c) for c in chunks]
-        new = list({p for c in cut for p in c if p not in self.pieces})
-        if new:
-            found = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(new)), side="right") * 4
-            raw, at = np.array(found.ids, dtype="<u4").tobytes(), 0
-            for piece, end in zip(new, ends.tolist()):
-                self.pieces[piece] = raw[at:end]
-                at = end
-        for chunk, parts in zip(chunks, cut):
-            self.chunks[chunk] = b"".join([self.pieces[p] for p in parts])
+        self.plain = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]*)")
+        # Ids of pieces, and of texts between spaces with the space before them.
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        known, plain, findall = self.known, self.plain.fullmatch, self.pattern.findall
+        words, others, cut = set(), set(), []
+        for chunk in chunks:
+            match = plain(chunk)
+            if match is None:
+                parts = findall(chunk)
+                others.update(parts)
+                cut.append((chunk, parts))
+            elif match[2]:
+                words.add(match[1])
+                others.add(match[2])
+                cut.append((chunk, match.groups()))
+            else:
+                words.add(chunk)
+        others.update([w for w in words if w[0] != " "])
+        words = [w for w in words.difference(others) if w not in known]
+        # Words with a space before them are pieces behind one another too, and a space begins no other id of a word.
+        runs = ["".join(words[k : k + RUN_WORDS]) for k in range(0, len(words), RUN_WORDS)]
+        found = self.library.encode_batch_fast(runs, add_special_tokens=False) if runs else []
+        self._keep(words, [f.ids for f in found], lambda ids: self.spaced[ids])
+        others = list(others.difference(known))
+        if others:
+            found = self.library.encode(others, is_pretokenized=True, add_special_tokens=False)
+            of = np.array(found.word_ids)
+            self._keep(others, [found.ids], lambda _: np.diff(of, prepend=-1) != 0)
+        for chunk, parts in cut:
+            known[chunk] = b"".join([known[p] for p in parts])
+
+    def _keep(self, pieces: list[str], runs: list[list[int]], first: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Keeps the ids of the pieces, given those of all; ``first`` says which of them begin a piece."""
+        if not pieces:
+            return
+        ids = np.concatenate([np.array(run, dtype="<u4") for run in runs])
+        starts = (np.nonzero(first(ids))[0] * 4).tolist()
+        raw, known = ids.tobytes(), self.known
+        for piece, start, end in zip(pieces, starts, [*starts[1:], len(raw)], strict=True):
+            known[piece] = raw[start:end]
+
+    def _cut(self, text: str) -> list[str]:
+        if self.doubled.search(text):
+            return self.pattern.findall(text)
+        if "\0" in text:
+            first, *rest = text.split(" ")
+            return [first, *[" " + word for word in rest]]
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        docs = []
-        for text in texts:
-            if self.doubled.search(text):
-                docs.append(self.pattern.findall(text))
-            else:
-                first, *rest = text.split(" ")
-                docs.append([first, *[" " + word for word in rest]])
-        wanted: set[str] = set()
-        for doc in docs:
-            wanted.update(doc)
-        chunks = self.chunks
-        known = {c: chunks[c] for c in wanted if c in chunks}
-        new = [c for c in wanted if c not in known]
+        docs = list(map(self._cut, texts))
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        new = set().union(*docs).difference(self.known)
         if new:
             self._learn(new)
-            for c in new:
-                known[c] = self.chunks[c]
+        ids_of = self.known.__getitem__
         for doc in docs:
-            yield b"".join(map(known.__getitem__, doc))
+            yield b"".join(map(ids_of, doc))
 
 
 @functools.lru_cache(maxsize=2)

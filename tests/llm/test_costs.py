@@ -2,8 +2,9 @@
 
 import numpy as np
 import public_tokenizers
+import regex
 
-from deltaboard.llm import pieces
+from deltaboard.llm import pieces, token_files
 
 
 def test_beginnings_are_found_in_buckets():
@@ -26,3 +27,20 @@ def test_draws_take_the_first_arc_above_the_fraction():
     states = rng.integers(0, len(graph.at) - 1, 2000)
     fractions = rng.random(2000)
     assert np.array_equal(graph.drawn(states, fractions), np.searchsorted(graph.edges, states + fractions, side="right"))
+
+
+def test_words_with_marks_need_no_pattern():
+    codec = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    codec.pattern = regex.compile("(?!)")
+    texts = ["Plain words, with some] marks; need none.", "Über été, señor!!!"]
+    found = [np.frombuffer(ids, dtype="<u4").tolist() for ids in codec.encode(texts)]
+    assert found == [codec.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_odd_texts_are_the_library_s():
+    codec = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(5)
+    parts = ["a", "é", "×", " ", "'s", "'", "\n", ",", "%", "1", "\0", " ", "漢", "word", " the"]
+    texts = ["".join(rng.choice(parts, size)) for size in rng.integers(0, 30, 3000)]
+    found = [np.frombuffer(ids, dtype="<u4").tolist() for ids in codec.encode(texts)]
+    assert found == [codec.library.encode(t, add_special_tokens=False).ids for t in texts]
