@@ -7,10 +7,13 @@ short substrings), so only strings around one minimizer are ever compared:
    a digest of the bytes of the run (its region);
 2. regions equal to an earlier one are removed whole. Within a batch of texts this
    is done at once, so a passage of many documents is sent on once per batch;
-3. where a minimizer has several different regions, a suffix array over the first of
-   each finds the strings they share: its longest-previous-factor array tells which
-   starts have an earlier match. Minimizers with very many regions are handled in
-   blocks, and what no block could match is compared by digest across blocks;
+3. where a minimizer has several different regions, the first of each is cut by how
+   far its strings start before the minimizer. Strings of one part have a middle in
+   common (its core), so parts meet by their core, and one that meets no other has
+   nothing earlier. A suffix array over those that meet finds the strings they share:
+   its longest-previous-factor array tells which starts have an earlier match. A core
+   with very many parts is handled in blocks, and what no block could match is
+   compared by digest across blocks;
 4. the spans of each document are united and cut from its text.
 """
 
@@ -31,12 +34,19 @@ from deltaboard.session import Staging
 LENGTH = 100
 GRAM = 24
 CHUNK_BITS = 20
-BLOCK = 256
+#: Starts of a part of a region; its strings share all but this many bytes.
+PART = 26
+#: Regions that are cut at once.
+RUNS = 10_000
+#: Parts of one core in a suffix array.
+BLOCK = 8192
 NULL_ID = -(2**63)
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 PLACE = U((1 << CHUNK_BITS) - 1)
+#: An odd number above the parts of a region.
+SLOTS = 0x2545F4914F6CDD1D
 
 
 @functools.lru_cache(maxsize=4)
@@ -112,18 +122,25 @@ def longest_previous_factors(symbols: np.ndarray, limit: int) -> np.ndarray:
     n = len(symbols)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    _, rank = np.unique(symbols, return_inverse=True)
-    levels, size = [rank.astype(np.int64)], 1
-
-    def joined(first: np.ndarray, second: np.ndarray, gap: int) -> np.ndarray:
+    level = symbols.astype(np.int64) - int(symbols.min())
+    base = int(level.max()) + 1
+    levels, size = [level], 1
+
+    def joined(gap: int) -> tuple[np.ndarray, int]:
+        """The last level with itself ``gap`` further on, and what is above all its numbers; ranks only if they must be short."""
+        level, most = levels[-1], base
+        if most * (most + 1) >= 1 << 62:
+            values, level = np.unique(level, return_inverse=True)
+            most, levels[-1] = len(values), level
         behind = np.zeros(n, dtype=np.int64)
-        behind[: n - gap] = second[gap:] + 1
-        return np.unique(first * np.int64(n + 2) + behind, return_inverse=True)[1]
+        behind[: n - gap] = level[gap:] + 1
+        return level * np.int64(most + 1) + behind, most * (most + 1)
 
     while 2 * size <= limit and size < n:
-        levels.append(joined(levels[-1], levels[-1], size))
+        level, base = joined(size)
+        levels.append(level)
         size *= 2
-    full = levels[-1] if limit <= size or n <= size else joined(levels[-1], levels[-1], limit - size)
+    full = levels[-1] if limit <= size or n <= size else joined(limit - size)[0]
     order = np.argsort(full, kind="stable")
     # Common prefixes of neighbours in suffix order, by the ranks of falling sizes.
     common = np.zeros(n, dtype=np.int64)
@@ -198,7 +215,7 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
 
 def _compared(anchors: DataFrame) -> DataFrame:
     """Streams the runs of each minimizer in order: later equal runs are spans (``block`` -1), and the first of
-    each different run is kept with its block where the minimizer has several."""
+    each different run is kept (``block`` 0) where the minimizer has several."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, kinds, first = None, 0, None  # minimizer, different runs so far, its first row while it is alone
@@ -230,43 +247,89 @@ def _compared(anchors: DataFrame) -> DataFrame:
             elif group[-1] > 0 or many[0]:
                 first = None
             yield batch[~new_d & later].assign(block=-1)
-            yield batch[reps].assign(block=(number[reps] // BLOCK).astype(np.int32))
+            yield batch[reps].assign(block=0)
             last, digest, kinds, place = m[-1], d[-1], int(number[-1]) + 1, begun[-1]
 
     ordered = anchors.repartition("m").sortWithinPartitions("m", "digest", "id", "mark", "lo")
     return ordered.mapInPandas(of, ANCHORS + ", block int")
 
 
+def _parts(runs: list[tuple[int, int, int, bytes]], length: int, gram: int = GRAM, part: int = PART) -> tuple[np.ndarray, ...]:
+    """Arrays ``key, run, lo, hi`` of the parts of ``(m, lo, hi, bytes)``: by how far, in steps of ``part``, their
+    strings start before the minimizer, which all of a part have in the same place of their core."""
+    m = np.array([r[0] for r in runs], dtype=np.int64).view(U)
+    lo, hi = (np.array([r[k] for r in runs], dtype=np.int64) for k in (1, 2))
+    data = np.frombuffer(b"".join([r[3] for r in runs]), dtype=np.uint8)
+    values = _byte_values()[data]
+    sizes = hi - lo + length
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    # The minimizer is the first place with its hash in all strings of the run.
+    count = lo - hi + length - gram + 1
+    run = np.repeat(np.arange(len(runs)), count)
+    place = np.arange(len(run)) + np.repeat(starts + hi - lo - (np.cumsum(count) - count), count)
+    here = np.nonzero(_gram_hashes(values, gram)[place] == m[run])[0]
+    at = np.zeros(len(runs), dtype=np.int64)
+    at[run[here][::-1]] = place[here][::-1]
+    nearest, furthest = at - (starts + hi - lo), at - starts
+    step = nearest // part
+    number = furthest // part - step + 1
+    run = np.repeat(np.arange(len(runs)), number)
+    step = np.arange(len(run)) + np.repeat(step - (np.cumsum(number) - number), number)
+    begin = at[run] - step * part
+    end = begin + length - part + 1
+    room = 1 << int(len(values) + 1).bit_length()
+    sums = np.concatenate([[U(0)], np.cumsum(values * _powers(int(BASE), room)[: len(values)], dtype=U)])
+    core = (sums[end] - sums[begin]) * _powers(int(INVERSE), room)[begin]
+    key = core * U(SLOTS) + step.astype(U)
+    first = at[run] - np.minimum(furthest[run], step * part + part - 1)
+    last = at[run] - np.maximum(nearest[run], step * part)
+    shift = (lo - starts)[run]
+    return key, run, first + shift, last + shift
+
+
 def _regions(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted run: ``m, block, shared, id, mark, lo, hi, bytes``."""
+    """The bytes of the parts of each wanted run: ``key, id, mark, lo, hi, bytes``."""
+
+    def cut(found: list[tuple], docs: list[tuple]) -> pd.DataFrame:
+        key, run, lo, hi = _parts(found, length)
+        places = zip(run.tolist(), lo.tolist(), hi.tolist())
+        data = [found[k][3][begin - found[k][1] : end - found[k][1] + length] for k, begin, end in places]
+        owners = np.array(docs, dtype=np.int64)[run]
+        mark = owners[:, 1].astype(np.int32)
+        return pd.DataFrame({"key": _signed(key), "id": owners[:, 0], "mark": mark, "lo": lo, "hi": hi, "bytes": data})
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, docs = [], []
         for batch in batches:
-            rows = []
             for doc, mark, packed, runs in zip(batch["id"], batch["mark"], batch["packed"], batch["runs"]):
                 data = zstandard.ZstdDecompressor().decompress(packed)
                 for run in runs:
-                    rows.append((run["m"], run["block"], run["shared"], doc, mark, run["lo"], run["hi"], data[run["lo"] : run["hi"] + length]))
-            yield pd.DataFrame(rows, columns=["m", "block", "shared", "id", "mark", "lo", "hi", "bytes"])
+                    found.append((run["m"], run["lo"], run["hi"], data[run["lo"] : run["hi"] + length]))
+                    docs.append((doc, mark))
+                    if len(found) == RUNS:
+                        yield cut(found, docs)
+                        found, docs = [], []
+        if found:
+            yield cut(found, docs)
 
-    runs = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("m", "block", "shared", "lo", "hi")).alias("runs"))
-    return texts.join(runs, ["id", "mark"]).mapInPandas(
-        of, "m long, block int, shared boolean, id long, mark int, lo long, hi long, bytes binary"
-    )
+    runs = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("m", "lo", "hi")).alias("runs"))
+    return texts.join(runs, ["id", "mark"]).mapInPandas(of, "key long, id long, mark int, lo long, hi long, bytes binary")
 
 
 def _matched(regions: DataFrame, length: int) -> DataFrame:
-    """Spans found by the suffix arrays of the blocks; for shared minimizers also the digests of the strings not found."""
+    """Spans found by the suffix arrays of the cores; for cores in several blocks also the digests of the strings not found."""
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["m", "id", "mark", "lo"]).sort_values(["id", "mark", "lo"], kind="stable")
-        sizes = np.array([len(b) for b in rows["bytes"]])
+    def block(rows: pd.DataFrame, shared: bool) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["key", "id", "mark", "lo"]).sort_values(["id", "mark", "lo"], kind="stable")
+        sizes = (rows["hi"] - rows["lo"]).to_numpy(np.int64) + length
         ends = np.cumsum(sizes + 1)
         starts = ends - sizes - 1
         symbols = np.empty(ends[-1], dtype=np.int64)
-        for k, (start, data) in enumerate(zip(starts, rows["bytes"])):
-            symbols[start : start + sizes[k]] = np.frombuffer(data, dtype=np.uint8)
-            symbols[start + sizes[k]] = 256 + k  # an end of its own, equal to no other
+        inside = np.ones(ends[-1], dtype=bool)
+        inside[ends - 1] = False
+        symbols[inside] = np.frombuffer(b"".join(rows["bytes"]), dtype=np.uint8)
+        symbols[ends - 1] = 256 + np.arange(len(rows))  # an end of its own, equal to no other
         factors = longest_previous_factors(symbols, length)
         counts = sizes - length + 1
         row = np.repeat(np.arange(len(rows)), counts)
@@ -274,38 +337,60 @@ def _matched(regions: DataFrame, length: int) -> DataFrame:
         doc, mark = rows["id"].to_numpy(np.int64)[row], rows["mark"].to_numpy(np.int32)[row]
         lo = rows["lo"].to_numpy(np.int64)[row] + offset
         found = factors[starts[row] + offset] >= length
-        shared = rows["shared"].to_numpy(bool)[row] & ~found
         one = np.full(len(found), "", dtype=object)
-        data = rows["bytes"].to_numpy()
-        for k in np.nonzero(shared)[0]:
-            one[k] = hashlib.blake2b(data[row[k]][offset[k] : offset[k] + length], digest_size=16).hexdigest()
-        kept = found | shared
+        if shared:
+            data = rows["bytes"].to_numpy()
+            for k in np.nonzero(~found)[0]:
+                one[k] = hashlib.blake2b(data[row[k]][offset[k] : offset[k] + length], digest_size=16).hexdigest()
         # Neighbouring starts found in one region are one run.
-        fresh = np.ones(len(kept), dtype=bool)
+        fresh = np.ones(len(found), dtype=bool)
         fresh[1:] = ~(found[1:] & found[:-1] & (row[1:] == row[:-1]))
-        number = np.cumsum(fresh)
-        frame = pd.DataFrame({"id": doc, "mark": mark, "lo": lo, "hi": lo, "string": one, "number": number})[kept]
-        return frame.groupby("number").agg({"id": "first", "mark": "first", "lo": "min", "hi": "max", "string": "first"})
+        first = np.nonzero(fresh)[0]
+        last = np.append(first[1:], len(found)) - 1
+        kept = found[first] | shared
+        first, last = first[kept], last[kept]
+        return pd.DataFrame({"id": doc[first], "mark": mark[first], "lo": lo[first], "hi": lo[last], "string": one[first]})
+
+    def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Cores that are in one block, about a megabyte of their parts at once."""
+        rows = rows[rows["key"].duplicated(keep=False)]
+        if not len(rows):
+            return
+        key = rows["key"].to_numpy(np.int64)
+        new = np.append(True, key[1:] != key[:-1])
+        sizes = (rows["hi"] - rows["lo"]).to_numpy(np.int64) + length
+        before = np.cumsum(sizes) - sizes
+        turn = np.maximum.accumulate(np.where(new, before, 0)) >> 20
+        for _, part in rows.groupby(turn):
+            yield block(part, False)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
+        cut = None  # the core that more than one block holds
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (rows["m"] == rows["m"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
+            if cut is not None:
+                of_cut = (rows["key"] == cut).to_numpy()
+                if not of_cut.all():
+                    if of_cut.any():
+                        yield block(rows[of_cut], True)
+                    rows, cut = rows[~of_cut], None
+            last = (rows["key"] == rows["key"].iloc[-1]).to_numpy()
             held = rows[last]
-            done = rows[~last]
-            # About a megabyte of regions at once; groups stay whole.
-            if len(done):
-                group = ((done["m"].diff() != 0) | (done["block"].diff() != 0)).cumsum()
-                weight = done.groupby(group)["bytes"].apply(lambda b: sum(map(len, b))).cumsum() // (1 << 20)
-                for _, part in done.groupby(group.map(weight)):
-                    yield block(part)
+            yield from whole(rows[~last])
+            while len(held) > BLOCK:
+                cut = held["key"].iloc[0]
+                yield block(held[:BLOCK], True)
+                held = held[BLOCK:]
         if held is not None:
-            yield block(held)
+            if cut is not None:
+                yield block(held, True)
+            else:
+                yield from whole(held)
 
     return (
-        regions.repartition("m", "block")
-        .sortWithinPartitions("m", "block")
+        regions.repartition("key")
+        .sortWithinPartitions("key")
         .mapInPandas(of, SPANS + ", string string")
     )
 
@@ -368,11 +453,7 @@ def remove_repeats(docs: DataFrame, stage: Staging, length: int = LENGTH) -> Dat
     texts = base.mapInPandas(pack, "doc_id long, id long, mark int, packed binary")
     anchors = stage(_anchors(base.where(F.octet_length("text") >= length).drop("doc_id"), length), "anchors")
     compared = stage(_compared(anchors.where("m is not null")), "compared")
-    several = compared.where("block >= 1").select("m").distinct().withColumn("shared", F.lit(True))
-    wanted = (
-        compared.where("block >= 0").join(several, "m", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    )
-    matched = stage(_matched(_regions(texts, wanted, length), length), "matched")
+    matched = stage(_matched(_regions(texts, compared.where("block = 0"), length), length), "matched")
     open_strings = matched.where("string <> ''")
     first = open_strings.groupBy("string").agg(F.min(F.struct("id", "mark", "lo")).alias("first"))
     across = open_strings.join(first, "string").where(F.struct("id", "mark", "lo") > F.col("first"))
