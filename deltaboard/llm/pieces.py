@@ -74,7 +74,7 @@ class Pieces:
         # Keys lie in buckets by their first bits, few in each; the last key is greater than all looked for but itself.
         self.keys = np.append(hashes[order], U(ALL))
         sizes = np.bincount((self.keys[:-1] >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
-        self.bucket, self.fullest = (np.cumsum(sizes) - sizes).astype(np.int32), int(sizes.max())
+        self.bucket = (np.cumsum(sizes) - sizes).astype(np.int32)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -87,9 +87,13 @@ class Pieces:
         """Where the beginnings with these hashes stand, and which of the hashes are known."""
         spread = hashes * U(SPREAD)
         at = self.bucket[(spread >> U(64 - BUCKET_BITS)).view(np.int64)]
-        for _ in range(self.fullest):
-            at = at + (self.keys[at] < spread)
-        return at, self.keys[at] == spread
+        found = self.keys[at]
+        behind = np.nonzero(found < spread)[0]
+        while len(behind):
+            at[behind] += 1
+            found[behind] = self.keys[at[behind]]
+            behind = behind[found[behind] < spread[behind]]
+        return at, found == spread
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of the ids: the space that encoding puts first is taken off, bytes are read as UTF-8."""
@@ -100,6 +104,15 @@ class Pieces:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def _segments(text: str) -> list[str]:
+    """The segments of the text as it is encoded, with a space first. Cutting at single spaces gives what the pattern gives."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text or "\0" in text:
+        return SEGMENT.findall(SPACE + text.replace(" ", SPACE))
+    return list(filter(None, (SPACE + text.replace("\n", "\0\n\0").replace(" ", "\0" + SPACE)).split("\0")))
+
+
 class Lattices:
     """Lattices of all segments of some texts, laid out as one graph.
 
@@ -113,7 +126,7 @@ class Lattices:
 
     def __init__(self, pieces: Pieces, texts: list[str]):
         self.pieces = pieces
-        segments = [SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        segments = list(map(_segments, texts))
         numbers = dict.fromkeys(itertools.chain.from_iterable(segments))
         numbers = dict(zip(numbers, range(len(numbers))))
         parts = [np.fromiter(map(numbers.__getitem__, s), dtype=np.int64, count=len(s)) for s in segments]

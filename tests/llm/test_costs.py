@@ -17,7 +17,14 @@ def test_beginnings_are_found_in_buckets():
         assert found == any(p.startswith(text) for p in plain)
         if text in plain and found:
             assert model.numbers[place] == plain[text]
-    assert model.fullest < 10
+
+
+def test_segments_are_the_pattern_s():
+    rng = np.random.default_rng(4)
+    letters = np.array([*"aéb...", *"  \n\n", "\0x", "▁"], dtype=object)
+    for size in rng.integers(1, 20, 5000):
+        text = "".join(rng.choice(letters, size))
+        assert pieces._segments(text) == pieces.SEGMENT.findall(pieces.SPACE + text.replace(" ", pieces.SPACE))
 
 
 def test_draws_take_the_first_arc_above_the_fraction():
