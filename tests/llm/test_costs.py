@@ -36,6 +36,53 @@ def test_draws_take_the_first_arc_above_the_fraction():
     assert np.array_equal(graph.drawn(states, fractions), np.searchsorted(graph.edges, states + fractions, side="right"))
 
 
+def same_rows(graph, other, seeds):
+    rows = []
+    for of in (graph, other):
+        found = pieces.sample_all(of, seeds, 2)
+        rows.append([[(of.ids_of(p.arcs).tolist(), p.total, score) for p, score in f] + [below] for f, below in found])
+    assert rows[0] == rows[1]
+
+
+def random_texts(rng, count):
+    words = ["the", "thereabouts", "otherwise", "été", "漢字", "\U0001f600x", "", "\n", "▁", "zq", "1234567", "of"]
+    return [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(count)]
+
+
+def test_segments_that_come_again_are_laid_out_once(monkeypatch):
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(6)
+    graph, laid = pieces.Lattices(model), []
+    plain = pieces.Lattices._arcs
+    monkeypatch.setattr(pieces.Lattices, "_arcs", lambda of, codes, stop: laid.append(len(codes)) or plain(of, codes, stop))
+    for turn in range(8):
+        texts = random_texts(rng, 20)
+        laid.clear()
+        graph.add(texts)
+        assert not turn or sum(laid) < sum(map(len, texts)) / 2
+        same_rows(graph, pieces.Lattices(model, texts), list(range(20)))
+        if turn % 3 == 2:
+            graph.trim(10**6 if turn == 2 else 0)
+            assert (len(graph.at) > 1) == (turn == 2)
+    laid.clear()
+    graph.add(texts)
+    graph.add(texts)
+    graph.trim(10**6)
+    graph.add(texts)
+    assert sum(laid[1:]) == 0
+
+
+def test_segments_of_one_digest_stay_apart(monkeypatch):
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(7)
+    texts = random_texts(rng, 30)
+    exact = pieces.Lattices(model, texts)
+    monkeypatch.setattr(pieces, "_digests", lambda codes, places, begins: codes[begins].astype(np.uint64) % np.uint64(3))
+    graph = pieces.Lattices(model, texts[:10])
+    graph.add(texts)
+    same_rows(graph, exact, list(range(30)))
+
+
 def test_words_with_marks_need_no_pattern():
     codec = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     codec.pattern = regex.compile("(?!)")
