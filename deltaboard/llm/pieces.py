@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 SAMPLES = 2
 RUN_CHARS = 250_000
+#: Letters of new segments that are laid out at once; a segment is never cut.
+LAID_CHARS = 1 << 16
 #: States after which the graph of a task is trimmed; segments that come again before are laid out once.
-KEPT_STATES = 1_000_000
+KEPT_STATES = 500_000
 BYTE_COST = 14.0
 BUCKET_BITS = 20
 SAMPLED = "doc_id long, sample int, ids array<int>, n_ids long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, decoded boolean"
@@ -197,8 +199,8 @@ class Lattices:
         self.digests, self.numbers = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int32)  # of the segments, by digest
         self.all_begins, self.all_sizes, self.all_codes = _Grown(np.int32), _Grown(np.int32), _Grown(np.int32)
         self.all_at, self.all_uses = _Grown(np.int32, [0]), _Grown(np.int32)
-        self.all_ids, self.all_to, self.all_logs = _Grown(np.int32), _Grown(np.int32), _Grown(np.float64)
-        self.all_rest, self.all_low = _Grown(np.float64), _Grown(np.float64)
+        self.all_ids, self.all_to = _Grown(np.int32), _Grown(np.int32)
+        self.all_share, self.all_low = _Grown(np.float64), _Grown(np.float64)
         self._lay(*[np.zeros(0, dtype=np.int32)] * 3)
         self.add(texts)
 
@@ -226,7 +228,10 @@ class Lattices:
         named = np.empty(len(distinct), dtype=np.int32)
         named[known] = self.numbers[at[known]]
         fresh = np.nonzero(~known)[0]
-        named[fresh] = self._lay(codes, begins[of[fresh]], sizes[of[fresh]])
+        # In turn, so that what laying out takes for a while is bounded however many segments are new.
+        turns = np.nonzero(np.diff((np.cumsum(sizes[of[fresh]]) - 1) // LAID_CHARS))[0] + 1
+        for part in np.split(fresh, turns):
+            named[part] = self._lay(codes, begins[of[part]], sizes[of[part]])
         self.all_uses.whole[named] += 1
         self.digests, self.numbers = np.insert(self.digests, at[fresh], distinct[fresh]), np.insert(self.numbers, at[fresh], named[fresh])
         numbers = np.empty(len(begins), dtype=np.int32)
@@ -239,6 +244,21 @@ class Lattices:
             numbers[other] = self._lay(codes, begins[other], sizes[other])
         return numbers
 
+    @property
+    def logs(self) -> np.ndarray:
+        return self.logs_of(slice(None))
+
+    def logs_of(self, arcs: np.ndarray | slice) -> np.ndarray:
+        """The log of the share of each of these arcs in all that may follow its state."""
+        return np.log(np.maximum(self.share[arcs], 1e-300))
+
+    def rest_of(self, arcs: np.ndarray) -> np.ndarray:
+        """The log of what is left of all that may follow the states of these arcs without the arcs."""
+        left = 1.0 - self.share[arcs]
+        rest = np.log(np.maximum(left, 1e-300))
+        rest[left < 1e-15] = -np.inf
+        return rest
+
     def _lay(self, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Adds these segments to the graph, and gives their numbers."""
         first, arcs = self.all_at.used - 1, self.all_ids.used
@@ -250,10 +270,10 @@ class Lattices:
         self.all_uses.add(np.zeros(len(sizes), dtype=np.int32))
         self.all_codes.add(codes)
         counts, ids, to, weight = self._arcs(codes, stop)
-        logs, rest, low = _shares(counts, to, weight, stop)
+        share, low = _shares(counts, to, weight, stop)
         self.at = self.all_at.add(np.cumsum(counts, dtype=np.int32) + np.int32(arcs))
         self.ids, self.to = self.all_ids.add(ids), self.all_to.add(np.where(to >= 0, to + np.int32(first), np.int32(-1)))
-        self.logs, self.rest, self.low = self.all_logs.add(logs), self.all_rest.add(rest), self.all_low.add(low)
+        self.share, self.low = self.all_share.add(share), self.all_low.add(low)
         return np.arange(self.all_sizes.used - len(sizes), self.all_sizes.used, dtype=np.int32)
 
     def trim(self, most: int) -> None:
@@ -278,7 +298,7 @@ class Lattices:
         self.all_uses.set(np.ones(len(kept), dtype=np.int32))
         self.at = self.all_at.set(np.append(np.int32(0), np.cumsum(counts, dtype=np.int32)))
         self.ids, self.to = self.all_ids.set(self.ids[arcs]), self.all_to.set(to)
-        self.logs, self.rest, self.low = self.all_logs.set(self.logs[arcs]), self.all_rest.set(self.rest[arcs]), self.all_low.set(self.low[arcs])
+        self.share, self.low = self.all_share.set(self.share[arcs]), self.all_low.set(self.low[arcs])
 
     def _arcs(self, codes: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """How many arcs each state has, and what the arcs of one state after the other carry, where they lead, and weigh."""
@@ -357,11 +377,11 @@ class Lattices:
         return spread, np.append(0, np.cumsum(sizes))[cuts]
 
 
-def _shares(counts: np.ndarray, to: np.ndarray, weight: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The log of the share of each arc in all that may follow its state, the log of what is left of that, and the shares before."""
+def _shares(counts: np.ndarray, to: np.ndarray, weight: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each arc in all that may follow its state, and the shares before."""
     n = len(stop)
     if not n:
-        return np.zeros(0), np.zeros(0), np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     mass = np.zeros(n + 1)  # log of the sum over all that may follow; the last stands for an end
     depth = stop - np.arange(n, dtype=np.int32)
     # Short numbers sort by their digits.
@@ -384,12 +404,7 @@ def _shares(counts: np.ndarray, to: np.ndarray, weight: np.ndarray, stop: np.nda
     shares = np.empty(len(weight))
     shares[order] = weight
     shares /= np.repeat(np.add.reduceat(shares, begins), counts)
-    logs = np.log(np.maximum(shares, 1e-300))
-    logs[begins[counts == 1]] = 0.0
-    left = 1.0 - shares
-    left[begins[counts == 1]] = 0.0
-    rest = np.log(np.maximum(left, 1e-300))
-    rest[left < 1e-15] = -np.inf
+    shares[begins[counts == 1]] = 1.0
     # Summed within each state alone, so that they do not depend on where it lies.
     before = np.zeros(len(shares))
     more = begins[counts > 1]
@@ -399,7 +414,7 @@ def _shares(counts: np.ndarray, to: np.ndarray, weight: np.ndarray, stop: np.nda
         before[more + k] = before[more + (k - 1)] + shares[more + (k - 1)]
         k += 1
         more, many = more[many > k], many[many > k]
-    return logs, rest, np.minimum(before, 1.0, out=before)
+    return shares, np.minimum(before, 1.0, out=before)
 
 
 @functools.lru_cache(maxsize=1)
@@ -439,11 +454,11 @@ class Path:
 
     def __init__(self, graph: Lattices, arcs: np.ndarray, places: np.ndarray, since: int = 0):
         self.arcs, self.places, self.since = arcs, places, since
-        self.before = np.concatenate([[0.0], np.cumsum(graph.logs[arcs])])
+        self.before = np.concatenate([[0.0], np.cumsum(graph.logs_of(arcs))])
         self.total = float(self.before[-1])
         self.banned: dict[int, set[int]] = {}
         # The log of what leaves the path at each arc from the one after those that are given.
-        self.chance = self.before[since:-1] + graph.rest[arcs[since:]]
+        self.chance = self.before[since:-1] + graph.rest_of(arcs[since:])
 
 
 def walk(graph: Lattices, requests: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -482,7 +497,7 @@ def sample(graph: Lattices, starts: np.ndarray, seed: int, samples: int):
     A generator: it yields the walks it needs, is sent their results, and returns
     the segmentations, so the walks of many texts are drawn together.
     """
-    at, to, logs = graph.at, graph.to, graph.logs
+    at, to = graph.at, graph.to
     found: list[tuple[Path, float]] = []
     # A set: all completions of a path's first ``since`` arcs but those that begin with a banned arc.
     tie = 0
@@ -503,10 +518,11 @@ def sample(graph: Lattices, starts: np.ndarray, seed: int, samples: int):
             state = bisect.bisect_right(at, parent.arcs[turn]) - 1
             gone = parent.banned.setdefault(turn, {int(parent.arcs[turn])})
             others = [a for a in range(at[state], at[state + 1]) if a not in gone]
-            running = np.cumsum(np.exp(logs[others]))
+            shares = np.exp(graph.logs_of(others))
+            running = np.cumsum(shares)
             arc = others[min(int(np.searchsorted(running, uniform(seed, draw, 2) * running[-1], side="right")), len(others) - 1)]
             gone.add(arc)
-            left = sum(math.exp(logs[a]) for a in others if a != arc)
+            left = sum(math.exp(x) for a, x in zip(others, graph.logs_of(others)) if a != arc)
             parent.chance[turn - parent.since] = -math.inf if left < 1e-15 else parent.before[turn] + math.log(left)
             place = int(parent.places[turn])
             here = 1 if to[arc] >= 0 else 0
@@ -545,6 +561,21 @@ def sample_all(graph: Lattices, seeds: list[int], samples: int) -> list:
     return results
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """The ids and texts of rows in their order, closed after ``RUN_CHARS`` letters; only one run is held as strings."""
+    for batch in batches:
+        docs, texts, size = [], [], 0
+        for row in range(batch.num_rows):
+            docs.append(batch.column(0)[row].as_py())
+            texts.append(batch.column(1)[row].as_py() or "")
+            size += len(texts[-1])
+            if size >= RUN_CHARS:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+        if docs:
+            yield docs, texts
+
+
 def encode_samples(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = 0) -> DataFrame:
     """Up to ``samples`` distinct segmentations of every whole text of ``docs(doc_id, text)``.
 
@@ -564,35 +595,26 @@ def encode_samples(docs: DataFrame, model: str, samples: int = SAMPLES, seed: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         graph = Lattices(pieces)
-        for batch in batches:
-            docs_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size, seeds = at, 0, []
-                while end < len(texts) and size < RUN_CHARS:
-                    number = -1 if docs_of[end] is None else docs_of[end]
-                    seeds.append(_mixed_one((number ^ seed) & ALL))
-                    size += len(texts[end])
-                    end += 1
-                if len(graph.at) > KEPT_STATES:
-                    graph.trim(KEPT_STATES // 2)
-                graph.add(texts[at:end])
-                found = sample_all(graph, seeds, samples)
-                paths = [path for of, _ in found for path, _ in of]
-                cuts = np.cumsum([0] + [len(path.arcs) for path in paths])
-                ids, cuts = graph.ids_between(np.concatenate([path.arcs for path in paths]), cuts)
-                lies, data = cuts.tolist(), ids.astype("<u4").tobytes()
-                decoded, rows = iter(pieces.decode_all(ids, lies)), []
-                for doc, text, (of, below) in zip(docs_of[at:end], texts[at:end], found):
-                    for k, (path, score) in enumerate(of):
-                        low, high = lies[len(rows)], lies[len(rows) + 1]
-                        gap = path.total - below
-                        inclusion = 0.0 if below == -math.inf else (gap if gap < -30 else math.log(-math.expm1(-math.exp(min(gap, 700.0)))))
-                        rows.append((doc, k, high - low, zlib.crc32(data[4 * low : 4 * high]), path.total, score, inclusion, next(decoded) == text))
-                cells = [pa.array(c, f.type) for c, f in zip(zip(*rows), [f for f in _SAMPLES if f.name != "ids"])]
-                cells.insert(_SAMPLES.get_field_index("ids"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())))
-                yield pa.RecordBatch.from_arrays(cells, schema=_SAMPLES)
-                at = end
+        for docs_of, texts in _runs(batches):
+            seeds = [_mixed_one(((-1 if doc is None else doc) ^ seed) & ALL) for doc in docs_of]
+            if len(graph.at) > KEPT_STATES:
+                graph.trim(KEPT_STATES // 2)
+            graph.add(texts)
+            found = sample_all(graph, seeds, samples)
+            paths = [path for of, _ in found for path, _ in of]
+            cuts = np.cumsum([0] + [len(path.arcs) for path in paths])
+            ids, cuts = graph.ids_between(np.concatenate([path.arcs for path in paths]), cuts)
+            lies, data = cuts.tolist(), ids.astype("<u4").tobytes()
+            decoded, rows = iter(pieces.decode_all(ids, lies)), []
+            for doc, text, (of, below) in zip(docs_of, texts, found):
+                for k, (path, score) in enumerate(of):
+                    low, high = lies[len(rows)], lies[len(rows) + 1]
+                    gap = path.total - below
+                    inclusion = 0.0 if below == -math.inf else (gap if gap < -30 else math.log(-math.expm1(-math.exp(min(gap, 700.0)))))
+                    rows.append((doc, k, high - low, zlib.crc32(data[4 * low : 4 * high]), path.total, score, inclusion, next(decoded) == text))
+            cells = [pa.array(c, f.type) for c, f in zip(zip(*rows), [f for f in _SAMPLES if f.name != "ids"])]
+            cells.insert(_SAMPLES.get_field_index("ids"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays(cells, schema=_SAMPLES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, SAMPLED)
 

@@ -1,7 +1,10 @@
 """Short ways that the operators take, against the plain ones."""
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 
 from deltaboard.llm import pieces, token_files
@@ -98,3 +101,34 @@ def test_pieces_of_odd_texts_are_the_library_s():
     texts = ["".join(rng.choice(parts, size)) for size in rng.integers(0, 30, 3000)]
     found = [np.frombuffer(ids, dtype="<u4").tolist() for ids in codec.encode(texts)]
     assert found == [codec.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_segments_are_laid_out_in_bounded_turns(monkeypatch):
+    """The same samples as laid out at once, with less in memory for a while and kept."""
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(c) for c in rng.choice([32, *range(97, 107)], 20_000)) for _ in range(10)] + ["", "x" * 500]
+    plain, laid = pieces.Lattices._arcs, []
+    monkeypatch.setattr(pieces.Lattices, "_arcs", lambda of, codes, stop: laid.append(len(codes)) or plain(of, codes, stop))
+    graph = pieces.Lattices(model, texts)
+    assert sum(laid) > 150_000 and max(laid) < 70_000
+    monkeypatch.setattr(pieces, "LAID_CHARS", 1 << 30)
+    same_rows(graph, pieces.Lattices(model, texts), list(range(len(texts))))
+    kept = sum(x.whole.nbytes for x in vars(graph).values() if isinstance(x, pieces._Grown))
+    assert kept < 25 * len(graph.ids) + 16 * len(graph.at)
+
+
+def test_only_a_run_of_a_batch_is_held_as_strings():
+    texts = [None, "", *["ab" * 500] * 4000, "c"]
+    batches = [pa.record_batch({"doc_id": [None, *range(1, len(texts))], "text": texts}), pa.record_batch({"doc_id": [7], "text": ["d"]})]
+    tracemalloc.start()
+    try:
+        runs = pieces._runs(iter(batches))
+        first = next(runs)
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+    found = [first, *runs]
+    assert all(pieces.RUN_CHARS <= sum(map(len, t)) < pieces.RUN_CHARS + 1000 for _, t in found[:-2])
+    assert [d for docs, _ in found for d in docs] == [None, *range(1, len(texts)), 7]
+    assert [t for _, of in found for t in of] == ["", *texts[1:], "d"]
