@@ -3,7 +3,8 @@
 The occurrence relation of length k holds, in order of piece and position, the
 phrases of k words that are frequent. It is packed by chunk of documents: one
 array of phrase numbers in which -1 stands wherever two neighbours are not
-adjacent. Merging the relation with itself at the next position gives the phrases
+adjacent, and a row for each distinct phrase, so that no reader or writer holds
+the phrases of a chunk at once. Merging the relation with itself at the next position gives the phrases
 of k + 1 words; they are counted over all chunks, and a semi-join with the
 frequent ones comes before the next length. Every relation is a written table.
 
@@ -39,15 +40,21 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(UPPER + b"\t" + BREAKS, LOWER + b" " + b"\n" * len(BREAKS))
 
-FIRST = "chunk bigint, lang string, items array<int>, words array<binary>, counts array<bigint>"
-NEXT = "chunk bigint, items array<int>, a array<bigint>, b array<bigint>, counts array<bigint>"
+#: Rows of a relation that are handed on at once.
+ROWS = 1 << 16
+#: How a relation is written: what a writer buffers and a reader opens is a few MB, however many chunks a file has.
+LAID_OUT = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+
+# Either a chunk's ``items`` or one of its phrases; number ``block * 256 + place`` is stored so that it takes no room.
+FIRST = "chunk bigint, lang string, items array<int>, block int, place int, words binary, c bigint"
+NEXT = "chunk bigint, items array<int>, block int, place int, a bigint, b bigint, c bigint"
 _FIRST = pa.schema([
-    ("chunk", pa.int64()), ("lang", pa.string()), ("items", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())),
-    ("counts", pa.list_(pa.int64())),
+    ("chunk", pa.int64()), ("lang", pa.string()), ("items", pa.list_(pa.int32())), ("block", pa.int32()),
+    ("place", pa.int32()), ("words", pa.binary()), ("c", pa.int64()),
 ])
 _NEXT = pa.schema([
-    ("chunk", pa.int64()), ("items", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())),
-    ("counts", pa.list_(pa.int64())),
+    ("chunk", pa.int64()), ("items", pa.list_(pa.int32())), ("block", pa.int32()), ("place", pa.int32()),
+    ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()),
 ])
 
 
@@ -70,6 +77,23 @@ def _squeezed(items: np.ndarray) -> np.ndarray:
     return items[keep]
 
 
+def _rows(schema: pa.Schema, chunk: dict, items: np.ndarray, phrases: dict) -> Iterator[pa.RecordBatch]:
+    """The row of ``items`` and those of ``phrases`` in the order of their numbers; ``chunk`` has what all rows share."""
+    for start in (None, *range(0, len(phrases["c"]), ROWS)):
+        if start is None:
+            n, cells = 1, {"items": [items]}
+        else:
+            number = np.arange(start, min(start + ROWS, len(phrases["c"])), dtype=np.int32)
+            n, cells = len(number), {k: v[start : start + ROWS] for k, v in phrases.items()}
+            cells |= {"block": number >> 8, "place": number & 255}
+        shared = {k: pa.repeat(pa.scalar(v, schema.field(k).type), n) for k, v in chunk.items()}
+        made = [
+            shared[f.name] if f.name in shared else pa.array(cells[f.name], f.type) if f.name in cells else pa.nulls(n, f.type)
+            for f in schema
+        ]
+        yield pa.RecordBatch.from_arrays(made, schema=schema)
+
+
 class _Open:
     """A chunk that still takes documents of one language."""
 
@@ -84,12 +108,11 @@ class _Open:
         self.size += len(words)
         return len(words)
 
-    def row(self, chunk: int, lang: str) -> pa.RecordBatch:
+    def rows(self, chunk: int, lang: str) -> Iterator[pa.RecordBatch]:
         items = np.concatenate(self.parts)
         counts = np.bincount(items[items >= 0], minlength=len(self.numbers) - 2)
         words = list(self.numbers)[2:]
-        cells = [chunk, lang, _squeezed(items), words, counts]
-        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _FIRST)], schema=_FIRST)
+        return _rows(_FIRST, {"chunk": chunk, "lang": lang}, _squeezed(items), {"words": words, "c": counts})
 
 
 def _first(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -106,9 +129,9 @@ def _first(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordB
                 fullest = max(open_, key=lambda k: open_[k].size)
                 full = open_.pop(fullest)
                 total -= full.size
-                yield full.row(next(chunks), fullest)
+                yield from full.rows(next(chunks), fullest)
     for lang, rest in open_.items():
-        yield rest.row(next(chunks), lang)
+        yield from rest.rows(next(chunks), lang)
 
 
 def _extended(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -132,8 +155,8 @@ def _extended(left: pa.Table, right: pa.Table) -> pa.Table:
     following = np.full(len(both), -1, np.int32)
     following[both] = place
     a, b = np.divmod(distinct, len(ids))
-    cells = [left["chunk"][0].as_py(), _squeezed(following), ids[a], ids[b], counts]
-    return pa.Table.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _NEXT)], schema=_NEXT)
+    found = {"a": ids[a], "b": ids[b], "c": counts}
+    return pa.Table.from_batches(_rows(_NEXT, {"chunk": left["chunk"][0].as_py()}, _squeezed(following), found))
 
 
 def _numbered(counted: DataFrame, stage: Staging, name: str) -> tuple[DataFrame, int]:
@@ -145,13 +168,10 @@ def _numbered(counted: DataFrame, stage: Staging, name: str) -> tuple[DataFrame,
     return made.withColumn("id", place * ((last or 0) + 1) + F.shiftright("_at", 33)).drop("_at"), 40 * rows + (bytes_ or 0)
 
 
-def _as_local(relation: DataFrame, keys: list[str]) -> DataFrame:
+def _as_local(relation: DataFrame) -> DataFrame:
     """One row per distinct phrase of a chunk: chunk, local number, keys, count."""
-    inner = F.posexplode(F.arrays_zip(*keys, "counts")).alias("local", "_z")
-    others = [c for c in ("lang",) if c in relation.columns]
-    return relation.select("chunk", *others, inner).select(
-        "chunk", *others, "local", *[F.col(f"_z.{k}").alias(k) for k in keys], F.col("_z.counts").alias("c")
-    )
+    found = relation.where(F.col("place").isNotNull()).withColumn("local", F.col("block") * 256 + F.col("place"))
+    return found.drop("items", "block", "place")
 
 
 def phrase_counts(
@@ -172,8 +192,8 @@ def phrase_counts(
     texts = docs.select(
         F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     )
-    relation = stage(texts.mapInArrow(lambda rows: _first(rows, chunk), FIRST), "occurrences1", compression="zstd")
-    spread = _as_local(relation, ["words"])
+    relation = stage(texts.mapInArrow(lambda rows: _first(rows, chunk), FIRST), "occurrences1", **LAID_OUT)
+    spread = _as_local(relation)
     counted = stage(spread.groupBy("lang", "words").agg(F.sum("c").alias("f")), "words")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     tables, keys = [], ["lang", "words"]
@@ -186,13 +206,12 @@ def phrase_counts(
             break
         sought = F.broadcast(frequent) if size <= broadcast_bytes else frequent
         kept = spread.join(sought, keys).select(F.col("chunk").alias("owner"), "local", "id")
-        grown = (
-            relation.select("chunk", "items").groupBy("chunk").cogroup(kept.groupBy("owner")).applyInArrow(_extended, NEXT)
-        )
-        relation, keys = stage(grown, f"occurrences{length + 1}", compression="zstd"), ["a", "b"]
+        items = relation.select("chunk", "items").where(F.col("items").isNotNull())
+        grown = items.groupBy("chunk").cogroup(kept.groupBy("owner")).applyInArrow(_extended, NEXT)
+        relation, keys = stage(grown, f"occurrences{length + 1}", **LAID_OUT), ["a", "b"]
         # The counts and the longer occurrences are written, so nothing goes back to the shorter ones.
         stage.drop(f"occurrences{length}")
-        spread = _as_local(relation, keys)
+        spread = _as_local(relation)
     return totals, tables
 
 

@@ -86,3 +86,34 @@ def test_twin(spark):
     twin = con.execute(oracles.all_sql()["op13_phrases"]).fetchall()
     got = queries.op13_phrases(spark, folder)
     assert sorted(tuple(r) for r in got.collect()) == sorted(twin)
+
+
+class _Keeps:
+    """A stage that drops nothing and knows its tables by name."""
+
+    def __init__(self, stage):
+        self.stage, self.tables = stage, {}
+
+    def __call__(self, df, name, **options):
+        self.tables[name] = self.stage(df, name, **options)
+        return self.tables[name]
+
+    def drop(self, name):
+        pass
+
+
+def test_a_row_holds_one_phrase(spark, stage):
+    """However many phrases a chunk has, no reader or writer holds them at once; more rows than one batch."""
+    n, made = 70_000, _Keeps(stage)
+    words = [f"w{i}" for i in range(n)]
+    docs = spark.createDataFrame([(" ".join(words), "en"), ("w0 w1. w0", "en")], "text string, lang string").coalesce(1)
+    totals, tables = phrase_counts(docs, made, least=1, longest=3)
+    assert [t.count() for t in tables] == [n, n - 1, n - 2]
+    for length in (1, 2, 3):
+        relation = made.tables.get(f"occurrences{length}")
+        assert [k for k, kind in relation.dtypes if kind.startswith("array")] == ["items"]
+        rows = relation.where("items IS NULL").selectExpr("block * 256 + place AS local", "c").collect()
+        assert sorted(r["local"] for r in rows) == list(range(n - length + 1))
+        items = relation.where("items IS NOT NULL").head()["items"]
+        assert collections.Counter(x for x in items if x >= 0) == {r["local"]: r["c"] for r in rows}
+        assert relation.where("items IS NOT NULL").count() == 1
